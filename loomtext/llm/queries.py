@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import mixing, neardup, packing
+from loomtext.llm import mixing, neardup, packing, substrings
 from loomtext.llm.common import read_table
 
 
@@ -12,6 +12,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
 
 
+def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(read_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions")
@@ -23,6 +27,7 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op10_bin_slack_packing": op10_bin_slack_packing,
 }
