@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import mixing, neardup, packing, quality, substrings, toxicity
+from loomtext.llm import fingerprint, mixing, neardup, packing, quality, substrings, toxicity
 from loomtext.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
 
 
+def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(read_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -36,6 +40,7 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
