@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import fingerprint, mixing, neardup, packing, quality, substrings, toxicity
+from loomtext.llm import fingerprint, mixing, neardup, packing, quality, rules, substrings, toxicity
 from loomtext.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions")
 
 
+def op8_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read_table(spark, sf_dir, "documents"), rules.trusted_by_label(read_table(spark, sf_dir, "labels")))
+
+
 def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
+    "op8_ngram_ratio_rules": op8_ngram_ratio_rules,
     "op10_bin_slack_packing": op10_bin_slack_packing,
 }
 
