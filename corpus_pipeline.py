@@ -5,13 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomtext.llm import mixing, packing
+from loomtext.llm import mixing, neardup, packing, substrings, toxicity
 from loomtext.llm.common import DOCUMENT_COLUMNS, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator scores below 0.5; it learns from the labels of those it is given."""
+    return toxicity.keep_clean(docs.select(*DOCUMENT_COLUMNS), read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near-duplicates."""
+    return neardup.keep_one(docs.select(*DOCUMENT_COLUMNS))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that start earlier; one that is nothing but such passages stays, with an empty text."""
+    left = substrings.dedup_substrings(docs, columns=("lang", "source"))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
     return mixing.curriculum(docs, list(DOCUMENT_COLUMNS))
@@ -22,7 +39,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,3 +180,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
         F.coalesce("component", "rep", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component", "rep", "doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the smallest doc_id, whose text sorts first.
+
+    Rows with a null doc_id are linked with nothing and stay.
+    """
+    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    first = rows.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
+    return first.unionByName(docs.where("doc_id is null"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import fingerprint, mixing, neardup, packing, quality, rules, substrings, toxicity
+from loomtext.llm import fingerprint, language, mixing, neardup, packing, quality, rules, substrings, tokens, toxicity
 from loomtext.llm.common import read_table
 
 
@@ -33,10 +33,18 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions")
 
 
+def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents"), rules.trusted_by_label(read_table(spark, sf_dir, "labels")))
 
 
+def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,9 @@ QUERIES = {
     "op4_suffix_tree_dedup": op4_suffix_tree_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
+    "op7_token_attribution": op7_token_attribution,
     "op8_ngram_ratio_rules": op8_ngram_ratio_rules,
+    "op9_language_fusion": op9_language_fusion,
     "op10_bin_slack_packing": op10_bin_slack_packing,
 }
 

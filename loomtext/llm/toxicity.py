@@ -156,6 +156,34 @@ def with_density(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, density double")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is scored below 0.5; see score_toxicity()."""
+    lexicon, x, y, _ = _fitted(docs, labels, name)
+
+    def run(batches):
+        import pyarrow as pa
+
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            keep = []
+            for text in byte_texts(batch):
+                folded = fold(text.decode("utf-8", "replace"))
+                keep.append(float(np.interp(density(matcher.weight(folded)[0], folded.count(" ") - 1), x, y)) < 0.5)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema) if y.max() >= 0.5 and lexicon.weights else docs
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, name: str) -> tuple[Lexicon, np.ndarray, np.ndarray, DataFrame]:
+    """Lexicon, knots of the calibration, and doc_id, held_out and density of all documents."""
+    usable = with_held_out(label_column(docs.sparkSession, labels, name), 5, 0).where("not held_out").drop("held_out")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lexicon = learn_lexicon(texts, usable)
+    dense = cut(with_held_out(with_density(texts, lexicon), 5, 0))
+    counts = binned_counts(dense.join(usable, "doc_id"), F.col("density"), F.col("label"), LOW, HIGH, BINS)
+    return lexicon, *isotonic(counts, LOW, HIGH, BINS), dense
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> DataFrame:
     """Scores every whole text of docs (doc_id, text), learning from labels (doc_id, name) of documents not held out.
 
@@ -164,12 +192,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> D
     mean, half counting as 1; a null doc_id has no label and is not held out. Without usable labels the lexicon is
     empty and every score is 0.5. Other columns are ignored.
     """
-    usable = with_held_out(label_column(docs.sparkSession, labels, name), 5, 0).where("not held_out").drop("held_out")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lexicon = learn_lexicon(texts, usable)
-    dense = cut(with_held_out(with_density(texts, lexicon), 5, 0))
-    counts = binned_counts(dense.join(usable, "doc_id"), F.col("density"), F.col("label"), LOW, HIGH, BINS)
-    x, y = isotonic(counts, LOW, HIGH, BINS)
+    _, x, y, dense = _fitted(docs, labels, name)
 
     def run(batches):
         import pyarrow as pa
