@@ -33,6 +33,11 @@ def split_sentences(paras: DataFrame, rules: bool = True) -> DataFrame:
     return paras.select("doc_id", "lang", "par", F.posexplode(pieces).alias("_s", "text")).select("doc_id", "lang", "par", (F.col("_s") + 1).alias("sent"), "text")
 
 
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, toks: words and single signs of the lowered text."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", X.tokens(F.col("text")).alias("toks"))
+
+
 def conversation_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, side (src: user turns, dst: assistant turns), ord (0-based), turn, text; pairs with both sides only."""
     c = table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
@@ -82,3 +87,6 @@ LOG_SQL = """
 log AS (SELECT user_id AS loop, event_id AS line,
   CASE event_type WHEN 'signup' THEN 'loop_start' WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'commit' WHEN 'view' THEN 'test_run' WHEN 'click' THEN 'correction' END AS event,
   value, ts, CASE WHEN event_type = 'click' THEN event_id - CAST(json_extract_string(props, '$.k') AS BIGINT) END AS supersedes FROM events)"""
+
+TOKENS_SQL = r"""
+tokens AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_\p{Pc}]+|[^\p{L}\p{M}\p{N}_\p{Pc}\s]') AS toks FROM documents)"""
