@@ -46,15 +46,16 @@ def sampling_table(spark: SparkSession, buckets: int, samples: int) -> DataFrame
     return spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).select("bucket", F.array(*numbers).alias("t"))
 
 
-def successors(keys: DataFrame) -> DataFrame:
-    """_d, _h -> copies (rows that have them), _nd, _nh: the next pair in ascending order, after the last the first.
+def neighbours(keys: DataFrame) -> DataFrame:
+    """_d, _h, n -> copies (rows that have the pair), _nd, _nh: the next pair in ascending order, after the last the first;
+    _pd, _ph, _pn: the one before and its n.
 
     A range partitioning orders the pairs over tasks; a pair's rank is its place in its task after the sizes of the
     tasks before, of which there is one row for each task. Places are written before they are used, as ranges are sampled.
     """
-    ordered = keys.groupBy("_d", "_h").agg(F.count(F.lit(1)).alias("copies")).repartitionByRange("_d", "_h").sortWithinPartitions("_d", "_h")
+    ordered = keys.groupBy("_d", "_h").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")).repartitionByRange("_d", "_h").sortWithinPartitions("_d", "_h")
     placed = cut(ordered.withColumn("_m", F.monotonically_increasing_id())).select(
-        "_d", "_h", "copies", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")
+        "_d", "_h", "copies", "n", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")
     )
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
@@ -63,8 +64,9 @@ def successors(keys: DataFrame) -> DataFrame:
         F.sum("_n").over(W.partitionBy()).alias("_all"),
     )
     ranked = placed.join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn("_r", F.col("_before") + F.col("_i"))
-    ahead = ranked.select(F.col("_d").alias("_nd"), F.col("_h").alias("_nh"), F.pmod(F.col("_r") - 1, F.col("_all")).alias("_of"))
-    return ranked.join(ahead, F.col("_r") == F.col("_of")).select("_d", "_h", "copies", "_nd", "_nh")
+    ahead = ranked.select(F.col("_d").alias("_nd"), F.col("_h").alias("_nh"), F.pmod(F.col("_r") - 1, F.col("_all")).alias("_ra"))
+    behind = ranked.select(F.col("_d").alias("_pd"), F.col("_h").alias("_ph"), F.col("n").alias("_pn"), F.pmod(F.col("_r") + 1, F.col("_all")).alias("_rb"))
+    return ranked.join(ahead, F.col("_r") == F.col("_ra")).join(behind, F.col("_r") == F.col("_rb")).select("_d", "_h", "copies", "_nd", "_nh", "_pd", "_ph", "_pn")
 
 
 def signatures(pairs: DataFrame, key: list[str], sides: list[str], meta: Column, samples: int, buckets: int) -> DataFrame:
@@ -118,27 +120,27 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, buckets: int = TERM_BU
     of their text; equal rows share one place and each get a row. A null doc_id comes first. Other columns are ignored.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("_d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
-    # Both sides of the second join read the one exchange of the texts by (_d, _h).
     once = keyed.withColumn("_n", F.row_number().over(W.partitionBy("_d", "_h").orderBy("_h"))).where("_n = 1").drop("_n")
-    following = successors(keyed.select("_d", "_h"))
-    own = once.alias("o").join(following.alias("f"), F.expr("o._d = f._d and o._h = f._h")).select("o._d", "o._h", "text", "copies", "_nd", "_nh")
-    ahead = once.select(F.col("_d").alias("_nd"), F.col("_h").alias("_nh"), F.col("text").alias("next_text"))
-    both = own.join(ahead.hint("merge"), ["_nd", "_nh"])
+    near = cut(neighbours(keyed.select("_d", "_h", F.char_length("text").alias("n"))))
+    # Whole texts are shuffled once, by (_d, _h), which both joins read; of the next text only what its predecessor takes.
+    own = once.join(near.select(F.col("_d").alias("_od"), F.col("_h").alias("_oh"), "copies", "_nd", "_nh"), (F.col("_d") == F.col("_od")) & (F.col("_h") == F.col("_oh")))
+    heads = once.join(near.select(F.col("_d").alias("_od"), F.col("_h").alias("_oh"), "_pd", "_ph", "_pn"), (F.col("_d") == F.col("_od")) & (F.col("_h") == F.col("_oh")))
+    heads = heads.select("_pd", "_ph", F.substring("text", F.lit(1), F.floor(F.col("_pn") / 4).cast("int")).alias("head"))
+    both = own.join(heads.hint("merge"), (F.col("_d") == F.col("_pd")) & (F.col("_h") == F.col("_ph")))
     n = F.char_length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), "head")
     pairs = both.select("_nd", "_nh", "_d", "_h", "copies", "text", n.alias("n_chars"), edited.alias("edited"))
-    numbers = [F.col("_d"), F.col("_h"), F.col("copies"), F.col("n_chars")]
+    numbers = [F.col("_nd"), F.col("_nh"), F.col("copies"), F.col("n_chars")]
     digest = F.sha2("edited", 256)
     # The digest travels beside the numbers as four of 64 bits.
     meta = F.concat_ws(" ", *[F.concat(F.lit(f"{i}:"), x.cast("string")) for i, x in enumerate(numbers)], *[F.concat(F.lit(f"{i + len(numbers)}:"), F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10)) for i in range(4)])
-    signed = cut(signatures(pairs, ["_nd", "_nh"], ["text", "edited"], meta, samples, buckets))
-    following = signed.select(F.col("m0").alias("_fd"), F.col("m1").alias("_fh"), F.col("signature_text").alias("_next"))
-    full = signed.join(following, (F.col("_nd") == F.col("_fd")) & (F.col("_nh") == F.col("_fh")))
+    signed = cut(signatures(pairs, ["_d", "_h"], ["text", "edited"], meta, samples, buckets))
+    following = signed.select(F.col("_d").alias("_fd"), F.col("_h").alias("_fh"), F.col("signature_text").alias("_next"))
+    full = signed.join(following, (F.col("m0") == F.col("_fd")) & (F.col("m1") == F.col("_fh")))
     zeros = "00" * SAMPLE_BYTES * samples
     shown = lambda c: F.coalesce(F.lower(F.hex(c)), F.lit(zeros))
     return full.select(
-        F.nullif("m0", F.lit(SMALLEST)).alias("doc_id"),
+        F.nullif("_d", F.lit(SMALLEST)).alias("doc_id"),
         F.col("m3").alias("n_chars"),
         F.concat(*[F.lower(F.lpad(F.hex(f"m{i}"), 16, "0")) for i in range(4, 8)]).alias("edited_sha256"),
         shown("signature_text").alias("fingerprint"),
