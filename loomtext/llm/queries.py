@@ -62,4 +62,33 @@ QUERIES = {
     "op10_bin_slack_packing": op10_bin_slack_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"_w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents))"
+
+_NEAR_SQL = (
+    "WITH RECURSIVE "
+    + _WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """,
+_g AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id) AS n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM _w),
+_s AS (SELECT DISTINCT doc_id, s FROM _g WHERE pos <= n - 3 OR n < 4 AND pos = 1),
+_n AS (SELECT doc_id, count(*) AS n FROM _s GROUP BY doc_id),
+_c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM _s a JOIN _s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+_l AS (SELECT a, b FROM _c JOIN _n x ON x.doc_id = a JOIN _n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+_e AS (SELECT a, b FROM _l UNION ALL SELECT b, a FROM _l),
+_r AS (SELECT DISTINCT a AS d, a AS reach FROM _e UNION SELECT _r.d, _e.b FROM _r JOIN _e ON _e.a = _r.reach),
+_m AS (SELECT d, min(reach) AS m FROM _r GROUP BY d)
+SELECT d.doc_id, coalesce(_n.n, 0) AS n_shingles, coalesce(_m.m, d.doc_id) AS component_id, coalesce(_m.m, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN _n ON _n.doc_id = d.doc_id LEFT JOIN _m ON _m.d = d.doc_id"""
+)
+
+_REPEATS_SQL = (
+    "WITH "
+    + _WORDS.format(text="text")
+    + """,
+_g AS (SELECT doc_id, pos, word, count(*) OVER (PARTITION BY doc_id) AS n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS g FROM _w),
+_k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) AS k FROM _g WHERE pos <= n - 19),
+_f AS (SELECT _g.doc_id, _g.pos, word, max(CASE WHEN k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY _g.doc_id ORDER BY _g.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM _g LEFT JOIN _k ON _k.doc_id = _g.doc_id AND _k.pos = _g.pos)
+SELECT d.doc_id, count(word) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN _f ON _f.doc_id = d.doc_id GROUP BY d.doc_id"""
+)
+
+#: The others draw hashes, learn models or run tokenizers; tests/llm holds them against brute force, round trips or accuracy.
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": _NEAR_SQL, "op4_suffix_tree_dedup": _REPEATS_SQL}
