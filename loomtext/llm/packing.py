@@ -44,7 +44,7 @@ class WordEncoder:
     """Ids of a text from ids of its words.
 
     The tokenizer splits at white space before it merges, so a text's ids are its words' ids in order. Words not seen
-    before are encoded together, as one text, where the number of their pre-tokens is plain, else each alone.
+    before are encoded together, as one text, where their pre-tokens are plain, else each alone.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,16 +57,15 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
-    def _encode_joined(self, words: list[bytes], pre_tokens: list[int]) -> dict[bytes, bytes]:
-        """One text of all the words, cut where the pre-tokens of each end; a piece of the vocabulary says if it ends one."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+    def _encode_joined(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """One text of parts that are one pre-token each, cut where the vocabulary says that one ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.word_end[ids]) + 1
-        last = np.cumsum(pre_tokens) - 1
-        if len(ends) != last[-1] + 1:
-            return self._encode(words)
-        stops = ends[last].tolist()
+        if len(ends) != len(parts):
+            return self._encode(parts)
+        stops = (4 * ends).tolist()
         raw = ids.tobytes()
-        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, [0, *stops], stops)}  # noqa: B905
+        return {w: raw[a:b] for w, a, b in zip(parts, [0, *stops], stops)}  # noqa: B905
 
     @property
     def word_end(self) -> np.ndarray:
@@ -78,29 +77,37 @@ class WordEncoder:
         return self._word_end
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """A table that has the words' ids. Letters alone are one pre-token, a tail of ASCII signs behind them another."""
-        plain, pre_tokens, rest, got = [], [], [], {}
+        """A table that has the words' ids. Letters are one pre-token and a tail of ASCII signs behind them is another."""
+        new, cache = {}, self.cache
+        plain: set[bytes] = set()
+        rest, built = [], []
         for w in words:
-            if w not in self.cache:
+            if w not in cache:
                 letters = w.rstrip(SIGNS)
                 if letters.decode("utf-8", "replace").isalpha():
-                    plain.append(w)
-                    pre_tokens.append(1 + (letters != w))
+                    plain.add(letters)
+                    if letters != w:
+                        plain.add(w[len(letters) :])
+                        built.append((w, letters, w[len(letters) :]))
                 else:
                     rest.append(w)
-        for i in range(0, len(plain), 2000):
-            got |= self._encode_joined(plain[i : i + 2000], pre_tokens[i : i + 2000])
+        parts = [w for w in plain if w not in cache]
+        for i in range(0, len(parts), 2000):
+            new |= self._encode_joined(parts[i : i + 2000])
         for i in range(0, len(rest), 2000):
-            got |= self._encode(rest[i : i + 2000])
-        if len(self.cache) + len(got) <= CACHE_WORDS:
-            self.cache |= got
-            return self.cache
-        return _Both(self.cache, got)
+            new |= self._encode(rest[i : i + 2000])
+        for w, letters, tail in built:
+            new[w] = (new.get(letters) or cache[letters]) + (new.get(tail) or cache[tail])
+        if len(cache) + len(new) <= CACHE_WORDS:
+            cache |= new
+            return cache
+        return _Both(cache, new)
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for i in range(0, len(texts), 500):
-            part = [t.split() for t in texts[i : i + 500]]
+            # The tokenizer lowers case itself; lowered before, fewer words are new. Special tokens are told by their case.
+            part = [(t if b"<|" in t else t.lower()).split() for t in texts[i : i + 500]]
             table = self.learn(set().union(*part) if part else set())
             get = table.__getitem__
             for words in part:
