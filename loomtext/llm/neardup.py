@@ -7,15 +7,21 @@ probability under 2 (1 - s^(K/2))^n: 2e-4 at 0.8 for K = 4 and n = 9, 3e-6 at 0.
 
 Candidates are verified on whole shingle sets, and no bucket is expanded into all its pairs:
 1. Documents of equal sets are one class, represented by its smallest doc_id.
-2. Each representative is verified against the smallest representative that any of its buckets holds.
-3. In buckets that still hold more than one component, those outside the bucket's largest component are verified, in
-   blocks, against all that are in other components, until there are no such pairs left.
+2. Each representative is verified against the bucket leaders (smallest members) that it shares most buckets with.
+3. In buckets that still hold more than one component, those outside the bucket's largest component (strays) are
+   verified against a member of it, of those the LEADERS most alike by their sketches; a few such rounds join what
+   belongs together.
+4. In buckets that are still mixed, strays are verified, in blocks, against all that are in other components, until there
+   are no such pairs left.
+Before texts are read, a pair's sizes and sketches must allow the similarity. A sketch has SKETCH more minhashes, made for
+the representatives that share a bucket only: of 128, 102.4 agree on average at 0.8, and fewer than LEAST_SHARE of
+them with a probability of 1e-6.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -24,8 +30,13 @@ from loomtext.llm.components import components
 
 HALF_KEYS = 9  # n
 HALF_WIDTH = 2  # K / 2
-#: Representatives outside a bucket's largest component that one round verifies against the rest.
-BLOCK = 32
+#: Strays of a bucket that one round verifies against the rest.
+BLOCK = 128
+#: Rounds in which strays are verified against a member of their bucket's largest component, and how many such members.
+STAR_ROUNDS = 2
+LEADERS = 3
+SKETCH = 128
+LEAST_SHARE = 0.63
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -42,11 +53,31 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
 
 
 def minhashes(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (shingles[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-    return x.min(axis=1)
+    """Least hash of the set under each seed; in blocks, so that a long text's table of hashes stays small."""
+    found = []
+    for i in range(0, len(shingles), 16384):
+        with np.errstate(over="ignore"):
+            x = (shingles[None, i : i + 16384] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+        found.append(x.min(axis=1))
+    return np.min(found, axis=0)
+
+
+def with_sketch(texts: DataFrame, width: int, size: int = SKETCH) -> DataFrame:
+    """rep, n (shingles), sketch (the low 16 bits of `size` minhashes) of texts (doc_id, text) that have shingles."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seeds = np.random.default_rng(21).integers(1, 2**63, size, np.uint64)
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in byte_texts(batch)]
+            rows = [minhashes(s, seeds).astype(np.uint16).tobytes() if len(s) else None for s in sets]
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary())], names=["rep", "n", "sketch"])
+            yield out.filter(out.column("sketch").is_valid())
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, sketch binary")
 
 
 def sketches(docs: DataFrame, width: int, half_keys: int = HALF_KEYS, half_width: int = HALF_WIDTH) -> DataFrame:
@@ -68,9 +99,7 @@ def sketches(docs: DataFrame, width: int, half_keys: int = HALF_KEYS, half_width
                     keys.append(None)
                     continue
                 digests.append(xxh3_128_digest(s.tobytes()))
-                # In blocks, so that a long text's table of hashes stays small.
-                m = np.min([minhashes(s[i : i + 65536], seeds) for i in range(0, len(s), 65536)], axis=0)
-                m = m.reshape(2 * half_keys, half_width)
+                m = minhashes(s, seeds).reshape(2 * half_keys, half_width)
                 key = m[:, 0]
                 for k in range(1, half_width):
                     with np.errstate(over="ignore"):
@@ -110,20 +139,49 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return joined.mapInArrow(run, "a long, b long")
 
 
+def table_keys(keys: str, n: int, *of: Column) -> Column:
+    """Keys of the n x n tables, from the half-keys of A and then of B."""
+    return F.explode(F.array(*[F.xxhash64(*of, F.lit(i * n + j), F.element_at(keys, i + 1), F.element_at(keys, n + j + 1)) for i in range(n) for j in range(n)]))
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows (key, rep, ...) whose key more than one rep has, with lead, the smallest."""
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last")
+    return keyed.join(buckets.select(F.col("key").alias("_key"), "lead"), F.col("key") == F.col("_key")).drop("_key")
+
+
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component: key, rep, component, largest (the bucket's)."""
+    """Members of the buckets that hold more than one component: key, rep, component, largest (the bucket's), strays."""
     named = members.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
     largest = (
-        named.groupBy("key", "component")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("key")
-        .agg(F.max(F.struct("_n", "component")).alias("_top"), F.count(F.lit(1)).alias("_components"))
+        sizes.groupBy("key")
+        .agg(F.max(F.struct("_n", "component")).alias("_top"), F.count(F.lit(1)).alias("_components"), F.sum("_n").alias("_all"))
         .where("_components > 1")
-        .select(F.col("key").alias("_key"), F.col("_top.component").alias("largest"))
+        .select(F.col("key").alias("_key"), F.col("_top.component").alias("largest"), (F.col("_all") - F.col("_top._n")).alias("strays"))
     )
     return named.join(largest, F.col("key") == F.col("_key")).drop("_key")
 
 
+def _likely(pairs: DataFrame, sketches_: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out, with the share of minhashes that agree. sketches_: rep, n, sketch."""
+    side = lambda c: sketches_.select(F.col("rep").alias(f"_{c}"), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    joined = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    joined = joined.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b", "sketch_a", "sketch_b")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
+                share = (x == y).mean(axis=1)
+                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "share"])
+                yield out.filter(pa.array(share >= LEAST_SHARE * percent / 80))
+
+    return joined.mapInArrow(run, "a long, b long, share double")
+
+
 def _cross_pairs(batch: DataFrame, members: DataFrame) -> DataFrame:
     """Each of the batch with all members of its buckets that are in other components, once: (a, b), a < b."""
     x, y = batch.alias("x"), members.alias("y")
@@ -145,34 +203,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half_key
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = cut(sketches(docs, width, half_keys))
     usable = sketch.where("doc_id is not null and digest is not null")
-    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("keys").alias("keys")))
-    n = half_keys
-    tables = F.array(
-        *[F.xxhash64(F.lit(i * n + j), F.element_at("keys", i + 1), F.element_at("keys", n + j + 1)) for i in range(n) for j in range(n)]
-    )
-    keyed = classes.select("rep", F.explode(tables).alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("_last")).where("lead < _last").select(F.col("key").alias("_key"), "lead")
-    members = cut(keyed.join(buckets, F.col("key") == F.col("_key")).select("key", "rep", "lead"))
-
-    first = members.where("lead < rep").groupBy("rep").agg(F.min("lead").alias("a")).select("a", F.col("rep").alias("b"))
-    links = cut(verified(first, docs, width, percent))
+    classes = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("keys").alias("keys")))
+    members = cut(_shared(classes.select("rep", table_keys("keys", half_keys).alias("key"))))
+    # Only representatives that share a bucket are ever compared; what is needed of them is picked out once.
+    candidates = members.select(F.col("rep").alias("_rep")).distinct()
+    texts = cut(docs.join(candidates, F.col("doc_id") == F.col("_rep"), "left_semi"))
+    small = cut(with_sketch(texts, width).groupBy("rep").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    shared = members.where("lead < rep").groupBy(F.col("rep").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy("a").orderBy(F.desc("_n"), "b")
+    first = shared.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= LEADERS).select("a", "b")
+    links = cut(verified(_likely(first, small, percent), texts, width, percent))
     label = components(links)
-    members = members.select("key", "rep")
+    members, done = members.select("key", "rep"), 0
     while True:
         open_members = cut(_open(members, label))
         if open_members.isEmpty():
             break
-        strays = open_members.where("component <> largest").withColumn("_rank", F.row_number().over(W.partitionBy("key").orderBy("rep")))
-        batch = cut(strays.where(F.col("_rank") <= block).select("key", "rep", "component"))
-        found = cut(verified(_cross_pairs(batch, open_members), docs, width, percent))
+        strays = open_members.where("component <> largest")
+        if done < STAR_ROUNDS:
+            inside = open_members.where("component = largest").groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", F.lit(done))).alias("b"))
+            pairs = strays.select("key", F.col("rep").alias("a")).join(inside, "key").select("a", "b").distinct()
+            order = W.partitionBy("a").orderBy(F.desc("share"), "b")
+            likely = _likely(pairs, small, percent).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= LEADERS)
+            members = open_members.select("key", "rep")
+        else:
+            ranked = strays.withColumn("_rank", F.row_number().over(W.partitionBy("key").orderBy("rep")))
+            batch = cut(ranked.where(F.col("_rank") <= block).select("key", "rep", "component"))
+            likely = _likely(_cross_pairs(batch, open_members), small, percent)
+            # What was verified against all of its bucket has nothing left to find there.
+            members = open_members.join(batch.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep")
+        done += 1
+        found = cut(verified(likely, texts, width, percent))
         if not found.isEmpty():
             links = cut(links.union(found))
             label = components(links)
-        # What was verified against all of its bucket has nothing left to find there.
-        members = open_members.join(batch.select("key", "rep"), ["key", "rep"], "left_anti").select("key", "rep")
     label = label.select(F.col("node").alias("_node"), "component")
     # The class of each document: only those of several documents need to be looked up.
-    several = classes.where("n > 1").select(F.col("digest").alias("_digest"), F.col("rep"))
+    several = classes.where("copies > 1").select(F.col("digest").alias("_digest"), F.col("rep"))
     of_doc = sketch.join(several, F.col("digest") == F.col("_digest"), "left").withColumn("rep", F.when(F.col("digest").isNotNull(), F.coalesce("rep", "doc_id")))
     return of_doc.join(label, F.col("rep") == F.col("_node"), "left").select(
         "doc_id",
