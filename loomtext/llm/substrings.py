@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import byte_texts, cut, gram_hashes, hash_words
+from loomtext.llm.common import Scratch, byte_texts, cut, gram_hashes, hash_words
 
 WINDOW = 20
 PREFIX = 8
@@ -148,17 +148,21 @@ def _tree_repeats(segments: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
-    """_d (doc_id, null as the smallest long), start of each window whose words also start earlier. docs: _d, text."""
-    rows = cut(_anchor_rows(docs, window, prefix))
+    """_d (doc_id, null as the smallest long), starts of the windows whose words also start earlier. docs: _d, text."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(_anchor_rows(docs, window, prefix), "anchors")
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("key").alias("_key"), (F.col("_n") > group_segments).alias("hot"))
     wanted = rows.join(groups, F.col("key") == F.col("_key")).groupBy("_d").agg(F.collect_list(F.struct("at", "hot")).alias("_a"))
-    wanted = wanted.select(F.col("_d").alias("_w"), F.col("_a.at").alias("ats"), F.col("_a.hot").alias("hots"))
-    segments = cut(_segments(docs.join(wanted, F.col("_d") == F.col("_w")).select("_d", "text", "ats", "hots"), window, prefix))
+    wanted = cut(wanted.select(F.col("_d").alias("_w"), F.col("_a.at").alias("ats"), F.col("_a.hot").alias("hots")))
+    scratch.drop("anchors")
+    segments = scratch.write(_segments(docs.join(wanted, F.col("_d") == F.col("_w")).select("_d", "text", "ats", "hots"), window, prefix), "segments")
     trees = _tree_repeats(segments.where("words is not null"), window)
     hot = segments.where("words is null").select("key", "_d", "first")
     earliest = hot.groupBy("key").agg(F.min(F.struct("_d", "first")).alias("_e"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("key").alias("_key"), "_e")
     late = hot.join(earliest, (F.col("key") == F.col("_key")) & (F.struct("_d", "first") > F.col("_e"))).select("_d", F.col("first").alias("start"))
-    return trees.union(late)
+    found = cut(trees.union(late).groupBy("_d").agg(F.collect_set("start").alias("starts")))
+    scratch.drop()
+    return found
 
 
 def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -201,7 +205,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     removed from all at that place. An empty table gives no rows. Other columns are ignored.
     """
     keyed = docs.select(_doc_key(F.col("doc_id")).alias("_d"), F.col("text").cast("string").alias("text"))
-    found = repeated_windows(keyed, window, prefix, group_segments).groupBy("_d").agg(F.collect_set("start").alias("starts")).select(F.col("_d").alias("_f"), "starts")
+    found = repeated_windows(keyed, window, prefix, group_segments).select(F.col("_d").alias("_f"), "starts")
     passed = [c for c in columns if c not in ("doc_id", "text")]
     full = docs.select(
         _doc_key(F.col("doc_id")).alias("_d"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *passed
