@@ -1,14 +1,17 @@
 """Quality rules (8): document counts and a hashed n-gram log-likelihood ratio, in DataFrame functions alone.
 
-The n-grams are the N characters that begin each word and the N that end it (a shorter word is its own), hashed into
-buckets of their own kind: at its edges a word shows its language's prefixes and endings as well as signs that are stuck
-to it. Two smoothed multinomials over the buckets, one of trusted documents and one of the raw corpus, give each document
-a log-likelihood ratio, which is divided by the number of its n-grams. Every document is judged by the same threshold:
-nothing is drawn. Counting reads exploded words in generated code, scoring folds over the array of words once.
+The n-grams are two kinds over the whole text (token_grams): every token, a run of letters and digits or of other signs,
+and every pair of neighbouring tokens, hashed into buckets of their own kind. Two smoothed multinomials over the buckets,
+one of trusted documents and one of the raw corpus, give each document a log-likelihood ratio, which is divided by the
+number of its n-grams. Every document is judged by the same threshold: nothing is drawn. Counting explodes the n-grams,
+scoring folds over their array. edge_grams, the characters at either end of each word, reads less than the text and is
+there for who asks for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +19,10 @@ from loomtext.llm.common import label_column
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Characters of an n-gram.
+#: Characters that edge_grams takes.
 N = 3
-#: Buckets of beginnings, and as many of endings.
-BUCKETS = 1 << 13
+#: Buckets of each kind of n-gram.
+BUCKETS = 1 << 14
 SMOOTHING = 1.0
 #: Mean log-likelihood ratio of an n-gram from which a document is kept.
 THRESHOLD = -0.4
@@ -38,7 +41,35 @@ def edge_buckets(word: Column, buckets: int) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(begins), F.lit(buckets)).cast("int"), (F.pmod(F.xxhash64(ends), F.lit(buckets)) + buckets).cast("int")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def edge_grams(text: Column, buckets: int) -> Column:
+    """Buckets of the first and last N characters of each word: a cut, as the rest of a word and all order are not read."""
+    return F.flatten(F.transform(words_of(text), lambda w: F.array(*edge_buckets(w, buckets))))
+
+
+def tokens_of(text: Column) -> Column:
+    """Split at blanks, and between signs and letters or digits."""
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    parts = F.split(trimmed, r"[\x20\x09-\x0D]+|(?<=[\p{L}\p{M}\p{N}])(?=[^\p{L}\p{M}\p{N}\s])|(?<=[^\p{L}\p{M}\p{N}\s])(?=[\p{L}\p{M}\p{N}])")
+    return F.when(F.length(trimmed) > 0, parts).otherwise(F.array().cast("array<string>"))
+
+
+def token_grams(text: Column, buckets: int) -> Column:
+    """Buckets of all tokens, then of all pairs of neighbours."""
+
+    def grams(h: Column) -> Column:
+        n = F.greatest(F.size(h) - 1, F.lit(0))
+        single = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+        pairs = F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda x, y: (F.pmod(F.xxhash64(x, y), F.lit(buckets)) + buckets).cast("int"))
+        return F.concat(single, pairs)
+
+    # An array of one, so that the hashes are made once.
+    return F.get(F.transform(F.array(F.transform(tokens_of(text), lambda t: F.xxhash64(t))), grams), F.lit(0))
+
+
+Grams = Callable[[Column, int], Column]
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, grams: Grams = edge_grams) -> DataFrame:
     """One row with an array: for each bucket, ln of its share in trusted documents over its share in all.
 
     docs: doc_id, text; trusted: doc_id, distinct. Counts are of all documents, pre-aggregated in each task.
@@ -46,8 +77,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     # The trusted ids grow with the corpus, so they are never broadcast, however few they are.
     marked = docs.select("doc_id", "text").join(trusted.select(F.col("doc_id").alias("_t"), F.lit(1).alias("_one")).hint("merge"), F.col("doc_id") == F.col("_t"), "left")
     counts = (
-        marked.select("_one", F.explode(words_of(F.col("text"))).alias("word"))
-        .select("_one", F.explode(F.array(*edge_buckets(F.col("word"), buckets))).alias("bucket"))
+        marked.select("_one", F.explode(grams(F.col("text"), buckets)).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.count("_one").alias("t"))
     )
@@ -64,8 +94,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoo
     return ratio.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, grams: Grams = edge_grams) -> DataFrame:
     """Judges every whole text of docs (doc_id, text). trusted: doc_id of the documents that the target is made of.
+    grams: token_grams, as in the query, or edge_grams.
 
     Returns doc_id, n_words; word_chars (code points in words), n_symbols (characters of SYMBOLS), n_dup_lines (lines
     with a word that equal an earlier one), n_repeat_words (words in windows of three that occur twice or more);
@@ -75,7 +106,7 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
     documents the target is uniform. Windows are compared by 64-bit hashes. Other columns are ignored.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ratios = log_ratios(plain, trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), buckets).scalar()
+    ratios = log_ratios(plain, trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), buckets, grams=grams).scalar()
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     symbols = sum((F.octet_length("text") - F.octet_length(F.replace("text", F.lit(s))) for s in SYMBOLS), F.lit(0))
     first = plain.select(
@@ -83,6 +114,7 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
         words_of(F.col("text")).alias("_words"),
         lines.alias("_lines"),
         symbols.cast("long").alias("n_symbols"),
+        grams(F.col("text"), buckets).alias("_grams"),
     )
     hashed = F.transform("_words", lambda w: F.xxhash64(w))
     second = first.select(
@@ -92,7 +124,7 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         hashed.alias("_hashes"),
-        "_words",
+        "_grams",
     )
     n = F.size("_hashes")
     part = lambda a: F.slice("_hashes", F.lit(a), F.greatest(n - 2, F.lit(0)))
@@ -105,14 +137,9 @@ def judge(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, threshold
     starts = F.array_distinct(F.flatten(equal))
     fourth = third.withColumn("_starts", starts).drop("_windows")
     covered = F.size(F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.array(i, i + 1, i + 2)))))
-
-    def added(total: Column, word: Column) -> Column:
-        begins, ends = edge_buckets(word, buckets)
-        return total + F.get(F.col("_ratios"), begins) + F.get(F.col("_ratios"), ends)
-
-    total = F.aggregate("_words", F.lit(0.0), added)
+    total = F.aggregate("_grams", F.lit(0.0), lambda t, g: t + F.get(F.col("_ratios"), g))
     fifth = fourth.withColumn("_ratios", ratios).withColumn("n_repeat_words", covered.cast("long")).withColumn(
-        "llr", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words"))).otherwise(F.lit(0.0))
+        "llr", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return fifth.withColumn("base_failed", failed).select(
