@@ -7,21 +7,19 @@ Jaccard similarity, sum of min(w) / sum of max(w). As a depends on (x, k, t) onl
 ln a and the least value itself names the sample: a sample needs one minimum of doubles, which Spark aggregates in
 generated code.
 
-Terms are dealt to a fixed number of buckets (terms that meet in one add up), so that r, c and b of each bucket and
-sample are constants and a term costs a few reads for each sample rather than five logarithms. Their table has
-TERM_BUCKETS rows whatever the input, and is broadcast.
+A term is the 64-bit hash of its word, so distinct words stay distinct. Two more hashes of it and k give the five uniforms
+of a sample: 25 bits for each of those that r and c take, 28 for b.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomtext.llm.common import cut
 
 SAMPLES = 64
-TERM_BUCKETS = 1 << 13
 #: Bytes of a sample in the fingerprint: different samples look alike with a probability of 2^-16.
 SAMPLE_BYTES = 2
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,21 +27,19 @@ SMALLEST = -(2**63)
 _META = 8  # numbers that a document hands on besides its terms
 
 
-def _uniform(*of: Column) -> Column:
-    """In (0, 1), from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(*of), 11).cast("double") + 0.5) / float(1 << 53)
+def _uniform(bits: Column, n: int) -> Column:
+    """In (0, 1), from n bits."""
+    return (bits.cast("double") + 0.5) / float(1 << n)
 
 
-def sampling_table(spark: SparkSession, buckets: int, samples: int) -> DataFrame:
-    """bucket -> t: r, b and ln c + r b - r of each sample, one after the other."""
-    x = F.col("bucket")
-    numbers = []
-    for k in range(samples):
-        r = -F.log(_uniform(x, F.lit(k), F.lit(1)) * _uniform(x, F.lit(k), F.lit(2)))
-        c = -F.log(_uniform(x, F.lit(k), F.lit(3)) * _uniform(x, F.lit(k), F.lit(4)))
-        b = _uniform(x, F.lit(k), F.lit(5))
-        numbers += [r, b, F.log(c) + r * b - r]
-    return spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).select("bucket", F.array(*numbers).alias("t"))
+def sample_value(term: Column, log_weight: Column, k: int) -> Column:
+    """ln a of sample k of a term (long); null where log_weight is."""
+    one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    mask = F.lit((1 << 25) - 1)
+    gamma = lambda h: -F.log(_uniform(h.bitwiseAND(mask), 25) * _uniform(F.shiftrightunsigned(h, 25).bitwiseAND(mask), 25))
+    r, c = gamma(one), gamma(two)
+    b = _uniform(F.shiftleft(F.shiftrightunsigned(one, 50), 14) + F.shiftrightunsigned(two, 50), 28)
+    return F.log(c) - r * (F.floor(log_weight / r + b).cast("double") - b) - r
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -69,12 +65,11 @@ def neighbours(keys: DataFrame) -> DataFrame:
     return ranked.join(ahead, F.col("_r") == F.col("_ra")).join(behind, F.col("_r") == F.col("_rb")).select("_d", "_h", "copies", "_nd", "_nh", "_pd", "_ph", "_pn")
 
 
-def signatures(pairs: DataFrame, key: list[str], sides: list[str], meta: Column, samples: int, buckets: int) -> DataFrame:
+def signatures(pairs: DataFrame, key: list[str], sides: list[str], meta: Column, samples: int) -> DataFrame:
     """pairs: key, and text columns `sides`; meta: blank-separated place:number. -> key, signature of each side, m0, m1...
 
     pairs must be partitioned by key: then none of the aggregations moves rows. A text without words has a null signature.
     """
-    spark = pairs.sparkSession
     last = len(sides)
     texts = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate(sides)], F.struct(F.lit(last).alias("side"), meta.alias("text")))
     words = (
@@ -83,18 +78,14 @@ def signatures(pairs: DataFrame, key: list[str], sides: list[str], meta: Column,
         .where("word <> ''")
     )
     is_meta = F.col("side") == last
-    place = F.when(is_meta, F.substring("word", 1, 1).cast("int")).otherwise(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
+    place = F.when(is_meta, F.substring("word", 1, 1).cast("long")).otherwise(F.xxhash64("word"))
     value = F.when(is_meta, F.expr("substring(word, 3)").cast("long")).otherwise(F.lit(1).cast("long"))
     weights = words.select(*key, "side", place.alias("place"), value.alias("value")).groupBy(*key, "side", "place").agg(F.sum("value").alias("weight"))
     is_meta = F.col("side") == last
     weights = weights.withColumn("log_weight", F.when(~is_meta, F.log(F.col("weight").cast("double"))))
-    table = F.broadcast(sampling_table(spark, buckets, samples))
-    minima = []
-    for k in range(samples):
-        r, b, q = (F.col("t").getItem(3 * k + i) for i in range(3))
-        minima.append(F.min(q - r * F.floor(F.col("log_weight") / r + b).cast("double")).alias(f"a{k}"))
+    minima = [F.min(sample_value(F.col("place"), F.col("log_weight"), k)).alias(f"a{k}") for k in range(samples)]
     metas = [F.max(F.when(is_meta & (F.col("place") == i), F.col("weight"))).alias(f"m{i}") for i in range(_META)]
-    sampled = weights.join(table, F.col("place") == F.col("bucket")).groupBy(*key, "side").agg(*minima, *metas)
+    sampled = weights.groupBy(*key, "side").agg(*minima, *metas)
     parts = [F.substring(F.unhex(F.lpad(F.hex(F.xxhash64(f"a{k}")), 16, "0")), 1, SAMPLE_BYTES) for k in range(samples)]
     signed = sampled.select(*key, "side", F.when(F.col("a0").isNotNull(), F.concat(*parts)).alias("_s"), *[f"m{i}" for i in range(_META)])
     return signed.groupBy(*key).agg(
@@ -110,7 +101,7 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
     return F.when(a.isNull() & b.isNull(), F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(equal / F.lit(float(samples)))
 
 
-def fingerprints(docs: DataFrame, samples: int = SAMPLES, buckets: int = TERM_BUCKETS) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every whole text of docs (doc_id, text) and of its edited text, and their likeness.
 
     The edited text has the last floor(n_chars / 4) code points replaced by as many (or all) that begin the next
@@ -134,7 +125,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES, buckets: int = TERM_BU
     digest = F.sha2("edited", 256)
     # The digest travels beside the numbers as four of 64 bits.
     meta = F.concat_ws(" ", *[F.concat(F.lit(f"{i}:"), x.cast("string")) for i, x in enumerate(numbers)], *[F.concat(F.lit(f"{i + len(numbers)}:"), F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10)) for i in range(4)])
-    signed = cut(signatures(pairs, ["_d", "_h"], ["text", "edited"], meta, samples, buckets))
+    signed = cut(signatures(pairs, ["_d", "_h"], ["text", "edited"], meta, samples))
     following = signed.select(F.col("_d").alias("_fd"), F.col("_h").alias("_fh"), F.col("signature_text").alias("_next"))
     full = signed.join(following, (F.col("m0") == F.col("_fd")) & (F.col("m1") == F.col("_fh")))
     zeros = "00" * SAMPLE_BYTES * samples
