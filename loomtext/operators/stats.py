@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from loomtext.operators.align import LINKS_SQL, links_by_method
 from loomtext.plans.registry import query
@@ -72,18 +73,42 @@ def perm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monte_carlo(outcome_blocks(spark, sf_dir))
 
 
-@query()
-def significance_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test at block sizes of 1, 5 and 10 pairs."""
-    blocks = outcome_blocks(spark, sf_dir)
+def agreement_units(links: DataFrame) -> DataFrame:
+    """pair_id, ps, diff of each source that both methods link: length model minus diagonal, 1 where all targets agree."""
+    per = links.groupBy("pair_id", "ps", "i").agg(
+        *[F.min(F.when(F.col("method") == m, (F.col("ps") == F.col("pd")).cast("double"))).alias(m) for m in ("length", "diagonal")]
+    )
+    return per.select("pair_id", "ps", (F.col("length") - F.col("diagonal")).alias("diff")).where("diff IS NOT NULL")
+
+
+def refinement_units(links: DataFrame) -> DataFrame:
+    """pair_id, k, diff of each target paragraph that both methods link, the k-th of its pair: 1 where one source paragraph at most reaches it."""
+    per = links.groupBy("pair_id", "pd").agg(*[F.count_distinct(F.when(F.col("method") == m, F.col("ps"))).alias(m) for m in ("length", "diagonal")])
+    common = per.where("length > 0 AND diagonal > 0")
+    kept = lambda m: (F.col(m) <= 1).cast("double")
+    k = F.row_number().over(W.partitionBy("pair_id").orderBy("pd")) - 1
+    return common.select("pair_id", k.alias("k"), (kept("length") - kept("diagonal")).alias("diff"))
+
+
+def suite(links: DataFrame) -> DataFrame:
+    """test, block_size, and what monte_carlo gives: agreement in blocks of a source paragraph, refinement in blocks of 1, 5
+    and 10 common target paragraphs. Blocks never reach over pairs. links: method, pair_id, i, j, ps, pd."""
+    refinement = refinement_units(links)
+    tests = [("agreement", 1, agreement_units(links), F.col("ps"))] + [("refinement", size, refinement, F.floor(F.col("k") / size)) for size in (1, 5, 10)]
     out = None
-    for size in (1, 5, 10):
-        coarse = blocks.groupBy(F.floor(F.col("block") / size).alias("block")).agg(F.sum("diff").alias("diff"), F.sum("size").alias("size"))
-        one = monte_carlo(coarse).withColumn("block_size", F.lit(size))
+    for name, size, units, inside in tests:
+        blocks = units.groupBy(F.format_string("%020d/%020d", F.col("pair_id").cast("long"), inside.cast("long")).alias("block")).agg(F.sum("diff").alias("diff"), F.count("*").alias("size"))
+        one = monte_carlo(blocks).select(F.lit(name).alias("test"), F.lit(size).alias("block_size"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query()
+def significance_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement and refinement of the length model against the diagonal; tests/test_significance.py holds the blocks."""
+    return suite(links_by_method(spark, sf_dir))
+
+
 @query(
     "WITH RECURSIVE "
     + LINKS_SQL

@@ -193,12 +193,27 @@ def triangle_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, p AS (SELECT i, row_number() OVER (ORDER BY md5(concat('20260907:', i))) AS k FROM s), q AS (SELECT j, row_number() OVER (ORDER BY i) AS k FROM s), sh AS (SELECT p.i, q.j FROM p JOIN q ON p.k = q.k),
 n0 AS (SELECT DISTINCT f.i, sh.j FROM f JOIN sh ON f.j = sh.i) SELECT count(*) AS agreed FROM n0 JOIN d ON n0.i = d.i AND n0.j = d.j"""
 )
-def triangle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement left when the second way's targets are dealt anew by a hash, over one edition's links."""
+def triangle_null_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of triangle_null's trials, which SQL holds."""
+    return null_trials(spark, sf_dir, 1).select("agreed")
+
+
+def null_trials(spark: SparkSession, sf_dir: str, trials: int) -> DataFrame:
+    """trial, agreed: agreement left when the second way's targets are dealt anew by a hash, over one edition's links."""
     f, s, d = (triangle_links(spark, sf_dir, *p) for p in ((0, 1), (1, 2), (0, 2)))
-    one = W.partitionBy(F.lit(1))
-    p = s.select("i", F.row_number().over(one.orderBy(F.md5(F.concat(F.lit("20260907:"), F.col("i").cast("string"))))).alias("k"))
-    q = s.select("j", F.row_number().over(one.orderBy("i")).alias("k"))
-    dealt = p.join(q, "k").select(F.col("i").alias("m"), "j")
-    null = f.select("i", F.col("j").alias("m")).join(dealt, "m").select("i", "j").distinct()
-    return null.join(d, ["i", "j"]).agg(F.count("*").alias("agreed"))
+    trial = spark.range(trials).select(F.col("id").alias("trial"))
+    seed = F.concat((F.col("trial") + 20260907).cast("string"), F.lit(":"))
+    of = W.partitionBy("trial")
+    each = s.crossJoin(F.broadcast(trial))
+    p = each.select("trial", "i", F.row_number().over(of.orderBy(F.md5(F.concat(seed, F.col("i").cast("string"))))).alias("k"))
+    q = each.select("trial", "j", F.row_number().over(of.orderBy("i")).alias("k"))
+    dealt = p.join(q, ["trial", "k"]).select("trial", F.col("i").alias("m"), "j")
+    null = f.select("i", F.col("j").alias("m")).join(dealt, "m").select("trial", "i", "j").distinct()
+    found = null.join(d, ["i", "j"]).groupBy("trial").agg(F.count("*").alias("n"))
+    return trial.join(found, "trial", "left").select("trial", F.coalesce("n", F.lit(0)).alias("agreed"))
+
+
+@query()
+def triangle_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five trials, each with its seed."""
+    return null_trials(spark, sf_dir, 5)
