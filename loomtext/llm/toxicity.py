@@ -1,7 +1,8 @@
 """Toxicity (5): a weighted lexicon matched by Aho-Corasick over folded text.
 
-Folding lowers case, strips accents that are only decoration on Latin letters of other scripts, maps homoglyphs and
-digits inside words to the letters they stand for, and turns the rest into single blanks. Matches inside an exception phrase
+Folding lowers case, drops zero-width characters, turns compatibility forms (full-width letters) into plain ones, strips
+combining marks from Latin letters, maps homoglyphs and digits inside words to the letters they stand for, and turns the
+rest into single blanks. Matches inside an exception phrase
 don't count. The score is the weight of the matches by the length of the text, calibrated by isotonic regression.
 The lexicon is learned: words that are far more frequent in labelled toxic texts than in others, weighted by log odds.
 """
@@ -9,6 +10,7 @@ The lexicon is learned: words that are far more frequent in labelled toxic texts
 from __future__ import annotations
 
 import re
+import unicodedata
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +42,8 @@ MIN_LOG_ODDS = 2.0
 LOW, HIGH, BINS = 0.0, 12.0, 2400
 
 _FOLD = str.maketrans(HOMOGLYPHS)
+_ZERO_WIDTH = re.compile("[\u00ad\u034f\u180e\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
+_MARKS = re.compile("(?<=[a-z])[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _STANDS = re.compile(r"(?<=[^\W_])[@$!](?=[^\W\d_])|[@$](?=[^\W\d_]{2})")
 _DIGIT = re.compile(r"(?<=[^\W\d_])[0134578]+(?=[^\W_])|(?<![^\W_])[0134578]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?![^\W_])")
 _OTHER = re.compile(r"[\W_]+")
@@ -49,7 +53,9 @@ def fold(text: str) -> str:
     """Blank-separated folded words, with a blank before and behind."""
     text = text.lower()
     if not text.isascii():
-        text = text.translate(_FOLD)
+        text = unicodedata.normalize("NFKD", _ZERO_WIDTH.sub("", text)).lower()
+        # Marks on letters of other scripts are put back.
+        text = unicodedata.normalize("NFC", _MARKS.sub("", text)).translate(_FOLD)
     stand = lambda m: "".join(DIGITS[c] for c in m.group())
     if "@" in text or "$" in text or "!" in text:
         text = _STANDS.sub(stand, text)
