@@ -57,7 +57,7 @@ def test_a_group_of_near_copies_and_a_common_passage(spark):
         copy = list(base)
         copy[3 * k] = f"new{k}"
         rows.append((1000 + k, " ".join(copy)))
-    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, block=16).collect()
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == brute_components(rows, 4)
 
 
