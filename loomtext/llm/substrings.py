@@ -1,37 +1,52 @@
 """Substring dedup (4): prefix-partitioned suffix trees.
 
-A word suffix belongs to the group of suffixes that begin with the same prefix; each group's suffix tree is built by
-itself, and its internal nodes of depth `window` or more are the maximal repeats. To keep suffixes few, a group is
-named by the rarest-hashed run of PREFIX words inside the window at which a suffix starts (its anchor): equal windows
-have equal anchors, and one anchor serves about seven consecutive suffixes, which are shipped as one segment. Prefixes
-have variable length: a group with more segments than memory should hold goes on to the longest prefix, the whole
-window, under which a subtree is a single deep node; of that, only the earliest suffix matters, so it is a minimum that
-is pre-aggregated before it is shuffled. Groups with a single segment cannot repeat and are left out.
+A text's suffixes are sampled: each window of `window` words is served by the suffix that begins at the least-hashed run
+of `prefix` words in it (the leftmost of equals), so that equal windows are served by suffixes with equal prefixes. The
+suffixes that begin with the same prefix are one group, whose subtree is built by itself. With 8 of 20 words a suffix
+serves about six windows in a row; the words of those are its segment, and the group's tree holds the suffixes of its
+segments. Equal segments of a group are one, that of the earliest, before any text is moved; windows of the later ones
+are all repeated. A group with one segment is a leaf and needs no tree. A group with more segments than memory should
+hold gets longer prefixes: its windows are served anew by runs of 14, 17, 19 and at last 20 words, until the groups that
+come of it fit. At 20 words the prefix is the window, and a group is a single node.
+
+A tree is its sorted suffixes with the lengths of the prefixes that neighbours share; its internal nodes of depth
+`window` or more are the repeats, and under a topmost one of these only the earliest suffix stays.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import Scratch, byte_texts, cut, gram_hashes, hash_words
+from loomtext.llm.common import Scratch, byte_texts, cut, gram_hashes, hash_words, mix
 
 WINDOW = 20
 PREFIX = 8
-#: Segments of a group that one tree holds (each about window + PREFIX words); larger groups get longer prefixes.
+#: Different segments of a group that one tree holds (each about window + 6 words); larger groups get longer prefixes.
 GROUP_SEGMENTS = 2_000
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.ones((2, 1), np.uint64)  # of _BASE and of its inverse, as many as were needed
 
 
-def anchors(hashed: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor of a document: its hash, its position, the first and the last start of the windows it serves."""
+def prefix_lengths(window: int, prefix: int) -> list[int]:
+    """The prefixes that a group goes through, each halfway from the one before to the window."""
+    lengths = [min(prefix, window)]
+    while lengths[-1] < window:
+        lengths.append((lengths[-1] + window + 1) // 2)
+    return lengths
+
+
+def anchors(hashed: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each sampled suffix of a document: the hash of its prefix, the first and the last start of the windows it serves."""
     n = len(hashed) - window + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none
     grams = gram_hashes(hashed, prefix)
     span = window - prefix + 1
     at = np.concatenate(
@@ -39,138 +54,220 @@ def anchors(hashed: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, n
     ) + np.concatenate([np.arange(min(65536, n - i)) for i in range(0, n, 65536)])
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:] - 1, [n - 1]])
-    return grams[at[first]].astype(np.int64), at[first], first, last
+    return grams[at[first]].astype(np.int64), first, last
+
+
+def span_hashes(hashed: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the words first to end (exclusive) of each span, by differences of one running sum."""
+    global _POWERS
+    n = len(hashed)
+    with np.errstate(over="ignore"):
+        if _POWERS.shape[1] <= n:
+            steps = np.full((2, 2 * n + 2), 1, np.uint64)
+            steps[0, 1:], steps[1, 1:] = _BASE, pow(_BASE, -1, 1 << 64)
+            _POWERS = np.cumprod(steps, axis=1, dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * _POWERS[0, :n])])
+        return mix((total[end] - total[first]) * _POWERS[1, first], (end - first).astype(np.uint64)).astype(np.int64)
+
+
+def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
+    """_d and _h tell documents apart and order them: doc_id, null first, and a hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("text"), *columns)
+
 
+_ROW = "key long, seg long, _d long, _h long, lo int, n int"
 
-def _doc_key(doc_id: Column) -> Column:
-    """Null sorts first, as a document of its own."""
-    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
 
+def _sampled(docs: DataFrame, window: int, prefix: int) -> DataFrame:
+    """key, seg (hash of the segment's words), _d, _h, lo (start of the first window served), n (windows served)."""
 
-def _anchor_rows(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for batch in batches:
-            keys, docs_, places = [], [], []
-            for doc, text in zip(batch.column("_d").to_pylist(), byte_texts(batch), strict=True):
+            parts: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc, h, text in zip(batch.column("_d").to_pylist(), batch.column("_h").to_pylist(), byte_texts(batch), strict=True):
                 words = text.split()
                 if len(words) >= window:
-                    key, at, _, _ = anchors(hash_words(words, len(words)), window, prefix)
-                    keys.append(key)
-                    places.append(at)
-                    docs_.append(np.full(len(at), doc, np.int64))
-            join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([join(keys), join(docs_), join(places).cast(pa.int32())], names=["key", "_d", "at"])
+                    hashed = hash_words(words, len(words))
+                    key, lo, hi = anchors(hashed, window, prefix)
+                    for part, values in zip(parts, (key, span_hashes(hashed, lo, hi + window), np.full(len(key), doc), np.full(len(key), h), lo, hi - lo + 1), strict=True):
+                        part.append(values)
+            arrays = [pa.array(np.concatenate(p) if p else np.empty(0, np.int64), pa.int64()).cast(t) for p, t in zip(parts, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "seg", "_d", "_h", "lo", "n"])
 
-    return docs.mapInArrow(run, "key long, _d long, at int")
+    return docs.select("_d", "_h", "text").mapInArrow(run, _ROW)
 
 
-def _segments(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """The segments of each document (_d, text, hot: map of its repeated anchors to whether their group is too large).
-
-    Rows: key, _d, first (word index of the segment), text (its words). In a group that is too large there is a row for
-    each suffix, whose key is the hash of its window and whose text is null.
-    """
+def _segments(docs: DataFrame, window: int) -> DataFrame:
+    """The words of the segments that each document (_d, _h, text, wanted: key, seg, lo, n) is asked for."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for doc, text, ats, hots in zip(
-                batch.column("_d").to_pylist(), byte_texts(batch), batch.column("ats").to_pylist(), batch.column("hots").to_pylist(), strict=True
-            ):
+            rows: list[tuple] = []
+            for doc, h, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("_d", "_h")), byte_texts(batch), batch.column("wanted").to_pylist(), strict=True):
+                words = text.split()
+                rows += [(w["key"], w["seg"], doc, h, w["lo"], w["n"], b" ".join(words[w["lo"] : w["lo"] + w["n"] + window - 1])) for w in wanted]
+            yield _segment_batch(rows)
+
+    return docs.mapInArrow(run, f"{_ROW}, words binary")
+
+
+def _segment_batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "seg", "_d", "_h", "lo", "n", "words"])
+
+
+def _split(segments: DataFrame, window: int, prefix: int) -> DataFrame:
+    """The segments' windows dealt to longer prefixes; a group's windows stay apart from those of other groups."""
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, doc, h, lo, text in zip(*(batch.column(c).to_pylist() for c in ("key", "_d", "_h", "lo", "words")), strict=True):
                 words = text.split()
-                wanted = dict(zip(ats, hots, strict=True))
                 hashed = hash_words(words, len(words))
-                whole = None
-                for key, at, lo, hi in zip(*(x.tolist() for x in anchors(hashed, window, prefix)), strict=True):
-                    hot = wanted.get(at)
-                    if hot is None:
-                        continue
-                    if hot:
-                        if whole is None:
-                            whole = gram_hashes(hashed, window).astype(np.int64)
-                        new = [(k, doc, p, None) for k, p in zip(whole[lo : hi + 1].tolist(), range(lo, hi + 1), strict=True)]
-                    else:
-                        new = [(key, doc, lo, b" ".join(words[lo : hi + window]))]
-                    for row in new:
-                        for column, value in zip(rows, row, strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "_d", "first", "words"]
-            )
-
-    return docs.mapInArrow(run, "key long, _d long, first int, words binary")
-
-
-def repeats_of_tree(segments: list[tuple[int, int, list[bytes]]], window: int) -> Iterator[tuple[int, int]]:
-    """(doc, start) of each suffix whose first `window` words also start earlier, in one group's suffix tree.
-
-    segments: doc, index of the first word, words. The tree is read off the sorted suffixes and the lengths of the
-    prefixes that neighbours share: a run of neighbours that share `window` words or more is what lies under one internal
-    node of that depth, and its earliest suffix is the one that stays.
+                keys, first, last = anchors(hashed, window, prefix)
+                keys = mix(keys.astype(np.uint64), np.uint64(key & (2**64 - 1))).astype(np.int64)
+                for k, s, a, b in zip(keys.tolist(), span_hashes(hashed, first, last + window).tolist(), first.tolist(), last.tolist(), strict=True):
+                    rows.append((k, s, doc, h, lo + a, b - a + 1, b" ".join(words[a : b + window])))
+            yield _segment_batch(rows)
+
+    return segments.mapInArrow(run, f"{_ROW}, words binary")
+
+
+class SuffixTree:
+    """The suffixes of segments (place, words) that have `window` words or more: sorted, with shared prefix lengths.
+
+    suffixes: (segment, word); shared[k]: words that suffix k shares with the one before, 0 for fewer than window.
     """
-    suffixes = sorted((words[i:], doc, first + i) for doc, first, words in segments for i in range(len(words) - window + 1))
-    node: list[tuple[int, int]] = []
-    above: list[bytes] = []
-    for words, doc, start in [*suffixes, ([], 0, 0)]:
-        if words[:window] != above:
-            if len(node) > 1:
-                earliest = min(node)
-                yield from {x for x in node if x != earliest}
-            node, above = [], words[:window]
-        node.append((doc, start))
+
+    def __init__(self, segments: list[tuple[tuple, list[bytes]]], window: int) -> None:
+        self.segments, self.window = segments, window
+        rows = sorted((words[i:], s, i) for s, (_, words) in enumerate(segments) for i in range(len(words) - window + 1))
+        self.suffixes = [(s, i) for _, s, i in rows]
+        self.shared = [0] * len(rows)
+        for k in range(1, len(rows)):
+            a, b = rows[k - 1][0], rows[k][0]
+            if a[:window] == b[:window]:
+                n = window
+                while n < len(a) and n < len(b) and a[n] == b[n]:
+                    n += 1
+                self.shared[k] = n
+
+    def deep_nodes(self) -> Iterator[tuple[int, int, int, bool]]:
+        """(depth, first, last, topmost) of each internal node of depth `window` or more: a maximal repeat and its suffixes."""
+        open_: list[tuple[int, int]] = []
+        for k in range(1, len(self.suffixes) + 1):
+            depth, first = self.shared[k] if k < len(self.suffixes) else 0, k - 1
+            while open_ and open_[-1][0] > depth:
+                below, first = open_.pop()
+                yield below, first, k - 1, not open_ and not depth
+            if depth and (not open_ or open_[-1][0] < depth):
+                open_.append((depth, first))
+
+    def repeated(self) -> Iterator[tuple[int, int, int]]:
+        """(segment, first window, windows) of the runs of windows of which an earlier one is under the same topmost node."""
+        late: dict[int, set[int]] = {}
+        place = lambda x: (*self.segments[x[0]][0][:-1], self.segments[x[0]][0][-1] + x[1])
+        for _, first, last, topmost in self.deep_nodes():
+            if topmost:
+                node = self.suffixes[first : last + 1]
+                earliest = min(map(place, node))
+                for x in node:
+                    if place(x) != earliest:
+                        late.setdefault(x[0], set()).add(x[1])
+        for s, starts in late.items():
+            for first in sorted(i for i in starts if i - 1 not in starts):
+                n = 1
+                while first + n in starts:
+                    n += 1
+                yield s, first, n
 
 
 def _tree_repeats(segments: DataFrame, window: int) -> DataFrame:
-    """Repeats of all groups; rows of a group are next to one another."""
+    """_d, _h, lo, n: the repeated windows in the trees of all groups; rows of a group are next to one another."""
 
     def run(batches):
         import pyarrow as pa
 
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32())], names=["_d", "start"])
+        def close() -> list[tuple]:
+            if len(group) < 2:
+                return []
+            return [(*group[s][0][:2], group[s][0][2] + first, n) for s, first, n in SuffixTree(group, window).repeated()]
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["_d", "_h", "lo", "n"])
 
         key, group = None, []
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for k, doc, first, text in zip(*(batch.column(c).to_pylist() for c in ("key", "_d", "first", "words")), strict=True):
+            found: list[tuple] = []
+            for k, doc, h, lo, text in zip(*(batch.column(c).to_pylist() for c in ("key", "_d", "_h", "lo", "words")), strict=True):
                 if k != key:
-                    found += repeats_of_tree(group, window)
+                    found += close()
                     key, group = k, []
-                group.append((doc, first, text.split()))
+                group.append(((doc, h, lo), text.split()))
             yield out(found)
-        yield out(list(repeats_of_tree(group, window)))
+        yield out(close())
 
-    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "_d long, start int")
+    return segments.select("key", "_d", "_h", "lo", "words").repartition("key").sortWithinPartitions("key").mapInArrow(run, "_d long, _h long, lo int, n int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
-    """_d (doc_id, null as the smallest long), starts of the windows whose words also start earlier. docs: _d, text."""
+    """_d, _h, spans (lo, n: n windows from the word lo on) of the windows whose words also start earlier. docs: _d, _h, text."""
+    place, after = F.struct("_d", "_h", "lo"), lambda first: F.struct("_d", "_h", "lo") > F.struct(*[F.col(f"{first}.{c}") for c in ("_d", "_h", "lo")])
+    lengths = prefix_lengths(window, prefix)
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(_anchor_rows(docs, window, prefix), "anchors")
-    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("key").alias("_key"), (F.col("_n") > group_segments).alias("hot"))
-    wanted = rows.join(groups, F.col("key") == F.col("_key")).groupBy("_d").agg(F.collect_list(F.struct("at", "hot")).alias("_a"))
-    wanted = cut(wanted.select(F.col("_d").alias("_w"), F.col("_a.at").alias("ats"), F.col("_a.hot").alias("hots")))
-    scratch.drop("anchors")
-    segments = scratch.write(_segments(docs.join(wanted, F.col("_d") == F.col("_w")).select("_d", "text", "ats", "hots"), window, prefix), "segments")
-    trees = _tree_repeats(segments.where("words is not null"), window)
-    hot = segments.where("words is null").select("key", "_d", "first")
-    earliest = hot.groupBy("key").agg(F.min(F.struct("_d", "first")).alias("_e"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("key").alias("_key"), "_e")
-    late = hot.join(earliest, (F.col("key") == F.col("_key")) & (F.struct("_d", "first") > F.col("_e"))).select("_d", F.col("first").alias("start"))
-    found = cut(trees.union(late).groupBy("_d").agg(F.collect_set("start").alias("starts")))
-    scratch.drop()
-    return found
-
-
-def _covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
+    try:
+        rows = scratch.write(_sampled(docs, window, lengths[0]), "sampled")
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("seg").alias("_lo"), F.max("seg").alias("_hi"), F.min(place).alias("_first")).where("_n > 1")
+        groups = groups.select(F.col("key").alias("_key"), (F.col("_lo") < F.col("_hi")).alias("several"), "_first")
+        alive = scratch.write(rows.join(groups, F.col("key") == F.col("_key")).drop("_key"), "alive")
+        scratch.drop("sampled")
+        # A group with one segment: all but the earliest are repeated.
+        late = [alive.where(~F.col("several") & after("_first")).select("_d", "_h", "lo", "n")]
+        # In the others each segment is kept once, and its words are fetched.
+        several = alive.where("several").select("key", "seg", "_d", "_h", "lo", "n")
+        once = scratch.write(several.groupBy("key", "seg").agg(F.min(F.struct("_d", "_h", "lo", "n")).alias("_first"), F.count(F.lit(1)).alias("_n")), "once")
+        again = once.where("_n > 1").select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), "_first")
+        late.append(several.join(again, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).where(after("_first")).select("_d", "_h", "lo", "n"))
+        wanted = once.select("key", "seg", "_first.*").groupBy(F.col("_d").alias("_wd"), F.col("_h").alias("_wh")).agg(F.collect_list(F.struct("key", "seg", "lo", "n")).alias("wanted"))
+        asked = docs.join(wanted, (F.col("_d") == F.col("_wd")) & (F.col("_h") == F.col("_wh"))).select("_d", "_h", "text", "wanted")
+        segments = scratch.write(_segments(asked, window), "segments")
+        for k, longer in enumerate([*lengths[1:], None]):
+            sizes = segments.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+            large = None if longer is None else cut(sizes.where(F.col("_n") > group_segments).select(F.col("key").alias("_key")))
+            if large is None or large.isEmpty():
+                late.append(_tree_repeats(segments, window))
+                break
+            late.append(_tree_repeats(segments.join(large, F.col("key") == F.col("_key"), "left_anti"), window))
+            longer_rows = scratch.write(_split(segments.join(large, F.col("key") == F.col("_key"), "left_semi"), window, longer), f"split{k}")
+            firsts = longer_rows.groupBy("key", "seg").agg(F.min(place).alias("_first"), F.min_by("n", place).alias("n"), F.min_by("words", place).alias("words"))
+            segments = scratch.write(firsts.select("key", "seg", "_first.*", "n", "words"), f"segments{k}")
+            kept = segments.select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), F.struct("_d", "_h", "lo").alias("_first"))
+            late.append(longer_rows.join(kept, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).where(after("_first")).select("_d", "_h", "lo", "n"))
+        found = late[0]
+        for part in late[1:]:
+            found = found.union(part)
+        return cut(found.groupBy("_d", "_h").agg(F.collect_list(F.struct("lo", "n")).alias("spans")))
+    finally:
+        scratch.drop()
+
+
+def _covered(n: int, spans: list[dict], window: int) -> np.ndarray:
+    """Which of n words the windows of spans cover."""
     change = np.zeros(n + 1, np.int32)
-    starts = np.unique(starts)
-    starts = starts[(starts >= 0) & (starts + window <= n)]
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + window, -1)
+    lo, many = np.array([s["lo"] for s in spans], np.int64), np.array([s["n"] for s in spans], np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, lo + many - 1 + window, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -179,8 +276,6 @@ def remove_words(text: bytes, covered: np.ndarray) -> bytes:
 
     Of the blanks around a removed run, those before it stay.
     """
-    import re
-
     out, end, skipping = [], 0, False
     for i, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", text)):
         if covered[i]:
@@ -200,16 +295,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     docs: doc_id, text and, if named, columns to pass through. Windows are judged on the input: one is repeated if its
     word sequence also starts at a smaller doc_id, or earlier in the same document. Returns doc_id, n_words, n_removed,
     kept_sha256 (of the kept words, joined by one space), kept_text (the text without the removed words) and columns.
-    A null text has no words and stays null; a null doc_id is smaller than others. Rows that repeat a doc_id are copies
-    of one document: what starts at the same place in both stays in both, and a window that is removed from one is
-    removed from all at that place. An empty table gives no rows. Other columns are ignored.
+    A null text has no words and stays null; a null doc_id is smaller than others. Rows that repeat a doc_id with
+    different texts are documents of their own, in the order of a hash of their texts (xxhash64); equal rows are one
+    document, so each gets what that has. An empty table gives no rows. Other columns are ignored.
     """
-    keyed = docs.select(_doc_key(F.col("doc_id")).alias("_d"), F.col("text").cast("string").alias("text"))
-    found = repeated_windows(keyed, window, prefix, group_segments).select(F.col("_d").alias("_f"), "starts")
+    keyed = _keyed(docs)
+    found = repeated_windows(keyed, window, prefix, group_segments).select(F.col("_d").alias("_fd"), F.col("_h").alias("_fh"), "spans")
     passed = [c for c in columns if c not in ("doc_id", "text")]
-    full = docs.select(
-        _doc_key(F.col("doc_id")).alias("_d"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *passed
-    ).join(found, F.col("_d") == F.col("_f"), "left").drop("_d", "_f")
+    full = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"_passed_{c}") for c in passed])
+    full = full.join(found, (F.col("_d") == F.col("_fd")) & (F.col("_h") == F.col("_fh")), "left").drop("_d", "_h", "_fd", "_fh")
 
     def run(batches):
         import pyarrow as pa
@@ -217,11 +311,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
         for batch in batches:
             n_words, n_removed, digests, texts = [], [], [], []
             nulls = batch.column("text").is_null().to_pylist()
-            for text, starts, null in zip(byte_texts(batch), batch.column("starts").to_pylist(), nulls, strict=True):
+            for text, spans, null in zip(byte_texts(batch), batch.column("spans").to_pylist(), nulls, strict=True):
                 words = text.split()
                 kept, left = words, text
-                if starts:
-                    covered = _covered(len(words), np.array(starts, np.int64), window)
+                if spans:
+                    covered = _covered(len(words), spans, window)
                     kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                     left = remove_words(text, covered)
                 n_words.append(len(words))
@@ -229,7 +323,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
                 digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 texts.append(None if null else left)
             arrays = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests), pa.array(texts, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(c) for c in passed)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *passed])
+            yield pa.RecordBatch.from_arrays([*arrays, *(batch.column(f"_passed_{c}") for c in passed)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *passed])
 
     kinds = dict(docs.dtypes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + "".join(f", `{c}` {kinds[c]}" for c in passed)

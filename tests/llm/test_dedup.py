@@ -101,12 +101,58 @@ def test_removed_text_keeps_its_blanks(spark):
     assert {r["doc_id"]: r["kept_text"] for r in substrings.dedup_substrings(df).collect()} == {1: f"a\n{repeated}\nb", 2: "c  d\ne"}
 
 
-def test_edge_cases_of_repeated_passages(edge, nothing):
+def removed_by_row(spark, rows, window):
+    """brute_removed() by (doc_id, text), where rows that repeat a doc_id stand in the order of a hash of their texts."""
+    hashed = spark.createDataFrame(list(set(rows)), "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order = sorted(hashed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    found = brute_removed([(k, r["text"]) for k, r in enumerate(order)], window)
+    return {(r["doc_id"], r["text"]): found[k] for k, r in enumerate(order)}
+
+
+def test_edge_cases_of_repeated_passages(spark, edge, nothing):
     found = substrings.dedup_substrings(edge, columns=("lang", "source")).collect()
-    assert len(found) == len(edge_rows())
-    once = [r for r in edge_rows() if r[0] not in (11, 12, None)]
-    want = brute_removed([(r[0], r[1]) for r in once], 20)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found if r["doc_id"] in want}
-    assert got == want
+    want = removed_by_row(spark, [(r[0], r[1]) for r in edge_rows()], 20)
+    key = {(r[0], len((r[1] or "").encode().split()), r[1] is None): [] for r in edge_rows()}
+    for r in edge_rows():
+        key[r[0], len((r[1] or "").encode().split()), r[1] is None].append(want[r[0], r[1]])
+    for r in found:
+        key[r["doc_id"], r["n_words"], r["kept_text"] is None].remove((r["n_words"], r["n_removed"], r["kept_sha256"]))
+    assert not any(key.values())
     assert [r["kept_text"] for r in found if r["doc_id"] == 3] == [None]
     assert substrings.dedup_substrings(nothing).count() == 0
+
+
+def test_rows_that_repeat_a_doc_id_keep_their_own_text(spark):
+    a, b = prose(1, 40), prose(2, 40)
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (None, b[: len(b) // 2]), (None, None)], "doc_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.dedup_substrings(df).collect())
+    half = len(b[: len(b) // 2].split())
+    again = sum(len(set(w)) > 0 for w in b[: len(b) // 2].split()[:-1])  # the last word is cut off
+    if b[len(b) // 2] == " ":
+        again = half
+    assert found == sorted([(1, 40, 0), (5, 40, 40), (5, 40, again if again >= 20 else 0), (5, 40, again if again >= 20 else 0), (0, half, 0), (0, 0, 0)])
+
+
+def test_deep_nodes_are_the_maximal_repeats():
+    words = lambda t: [w.encode() for w in t.split()]
+    tree = substrings.SuffixTree([((0,), words("x a b c d e y")), ((10,), words("z a b c d e w")), ((20,), words("q a b c r a b c d e w"))], 3)
+    nodes = {(d, tuple(sorted(tree.segments[s][0][0] + i for s, i in tree.suffixes[a : b + 1])), top) for d, a, b, top in tree.deep_nodes()}
+    assert nodes == {
+        (3, (1, 11, 21, 25), True), (5, (1, 11, 25), False), (6, (11, 25), False),
+        (4, (2, 12, 26), True), (5, (12, 26), False), (3, (3, 13, 27), True), (4, (13, 27), False), (3, (14, 28), True),
+    }
+    assert sorted(tree.repeated()) == [(1, 1, 3), (2, 1, 1), (2, 5, 4)]
+
+
+def test_prefixes_grow_to_the_window():
+    assert substrings.prefix_lengths(20, 8) == [8, 14, 17, 19, 20]
+    assert substrings.prefix_lengths(5, 8) == [5]
+
+
+@pytest.mark.parametrize("group", [1, 3, 50])
+def test_a_common_passage_and_a_common_phrase_in_groups_of_any_size(spark, group):
+    passage, phrase = prose(70, 45), prose(71, 9)
+    rows = [(i, f"{prose(200 + i, 30)} {passage if i % 3 else phrase} {prose(300 + i, 25)}") for i in range(90)]
+    rows += [(100, " ".join(["la"] * 200)), (101, " ".join(["la"] * 30))]
+    found = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), group_segments=group).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == brute_removed(rows, 20)
