@@ -100,29 +100,36 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, stats array<double>")
 
 
-def _summed(rows: DataFrame, one, size: int) -> np.ndarray:
-    """The sum of one(stats, labels) over all rows, first in each partition, then in eight tasks, then here."""
+def _summed(rows: DataFrame, one, size: int, fan_in: int = 32) -> np.ndarray:
+    """The sum of one(stats, labels) over all rows: of each partition, of `fan_in` of those, of as many of these, and then here."""
 
-    def partial(batches):
+    def record(total: np.ndarray, node: int):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["node", "part"])
+
+    def partial(batches):
+        from pyspark import TaskContext
+
         total = np.zeros(size)
         for batch in batches:
             if len(batch):
                 total += one(_matrix(batch), batch.column("label").to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+        yield record(total, TaskContext.get().partitionId() // fan_in)
 
     def added(batches):
-        import pyarrow as pa
-
-        total = np.zeros(size)
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in batch.column("part").to_pylist():
-                total += np.frombuffer(part)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-    parts = rows.select("stats", "label").mapInArrow(partial, "part binary").repartition(8).mapInArrow(added, "part binary").collect()
-    return np.sum([np.frombuffer(r["part"]) for r in parts], axis=0) if parts else np.zeros(size)
+            for node, part in zip(batch.column("node").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                totals[node] = totals.get(node, 0) + np.frombuffer(part)
+        for node, total in totals.items():
+            yield record(total, node // fan_in)
+
+    parts = rows.select("stats", "label").mapInArrow(partial, "node long, part binary")
+    for _ in range(2):
+        parts = parts.repartition("node").mapInArrow(added, "node long, part binary")
+    found = parts.collect()
+    return np.sum([np.frombuffer(r["part"]) for r in found], axis=0) if found else np.zeros(size)
 
 
 def fit(labelled: DataFrame, features: int = FEATURES, bandwidth: float = BANDWIDTH, ridge: float = RIDGE, seed: int = SEED) -> Model:
