@@ -1,20 +1,26 @@
 """Toxicity (5): a weighted lexicon matched by Aho-Corasick over folded text.
 
 Folding lowers case, drops zero-width characters, turns compatibility forms (full-width letters) into plain ones, strips
-combining marks from Latin letters, maps homoglyphs and digits inside words to the letters they stand for, and turns the
-rest into single blanks. Matches inside an exception phrase
-don't count. The score is the weight of the matches by the length of the text, calibrated by isotonic regression.
-The lexicon is learned: words that are far more frequent in labelled toxic texts than in others, weighted by log odds.
+combining marks from Latin letters, maps homoglyphs and digits inside words to the letters they stand for, turns the rest
+into single blanks and joins words that are spelled letter by letter. As a 1 may stand for i or for l, a text with one is
+folded both ways and the heavier folding counts.
+Matches inside an exception phrase don't count. The score is the weight of the matches by the length of the text,
+calibrated by isotonic regression.
+The lexicon is learned: words that are far more frequent in labelled toxic texts than in others, weighted by log odds, and
+phrases of two words of which neither is in it. Exception phrases are learned too, beside those of a short list: pairs of
+words, of which one is in the lexicon, that are no more frequent in toxic texts than in others. Calibration reads labelled
+rows that the lexicon was not learned from.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.calibrate import binned_counts, isotonic
@@ -37,6 +43,10 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "white trash bag", "pond s
 LEXICON_ROWS = 20_000
 #: Words of the lexicon, at most: a size of the model.
 LEXICON_WORDS = 2_000
+#: Phrases, and learned exceptions, at most: sizes of the model too.
+LEXICON_PHRASES = 1_000
+#: One in so many labelled rows calibrates the score instead of making the lexicon.
+CALIBRATES = 4
 MIN_SUPPORT = 5
 MIN_LOG_ODDS = 2.0
 LOW, HIGH, BINS = 0.0, 12.0, 2400
@@ -44,24 +54,26 @@ LOW, HIGH, BINS = 0.0, 12.0, 2400
 _FOLD = str.maketrans(HOMOGLYPHS)
 _ZERO_WIDTH = re.compile("[\u00ad\u034f\u180e\u200b-\u200f\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 _MARKS = re.compile("(?<=[a-z])[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
-_STANDS = re.compile(r"(?<=[^\W_])[@$!](?=[^\W\d_])|[@$](?=[^\W\d_]{2})")
+_STANDS = re.compile(r"(?<=[^\W_])[@$!]+(?=[^\W\d_])|[@$]+(?=[^\W\d_]{2})|(?<=[^\W\d_])\$+(?!\w)")
 _DIGIT = re.compile(r"(?<=[^\W\d_])[0134578]+(?=[^\W_])|(?<![^\W_])[0134578]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578]+(?![^\W_])")
 _OTHER = re.compile(r"[\W_]+")
+_SPELLED = re.compile(r"(?<= )(?:[^\W\d_] ){3,}[^\W\d_](?= )")
 
 
-def fold(text: str) -> str:
-    """Blank-separated folded words, with a blank before and behind."""
+def fold(text: str, one: str = "i") -> str:
+    """Blank-separated folded words, with a blank before and behind. one: what a 1 inside a word stands for."""
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", _ZERO_WIDTH.sub("", text)).lower()
         # Marks on letters of other scripts are put back.
         text = unicodedata.normalize("NFC", _MARKS.sub("", text)).translate(_FOLD)
-    stand = lambda m: "".join(DIGITS[c] for c in m.group())
+    stand = lambda m: "".join(one if c == "1" else DIGITS[c] for c in m.group())
     if "@" in text or "$" in text or "!" in text:
         text = _STANDS.sub(stand, text)
     if any(d in text for d in "0134578"):
         text = _DIGIT.sub(stand, text)
-    return f" {_OTHER.sub(' ', text).strip()} "
+    folded = f" {_OTHER.sub(' ', text).strip()} "
+    return _SPELLED.sub(lambda m: m.group().replace(" ", ""), folded)
 
 
 class Lexicon(NamedTuple):
@@ -96,9 +108,14 @@ class Matcher:
         return sum(m[2] for m in found), found
 
 
-def density(total: float, words: int) -> float:
+def density(matcher: Matcher, text: bytes) -> float:
     """Weight by length on a scale of its logarithm: 0 without a match, else 1 and more from one in a million words on."""
-    return 0.0 if total <= 0 else max(1.0, 1.0 + float(np.log1p(1e6 * total / max(words, 1))) / 2)
+    plain = text.decode("utf-8", "replace")
+    folded = fold(plain)
+    total = matcher.weight(folded)[0]
+    if "1" in plain and (other := fold(plain, "l")) != folded:
+        total = max(total, matcher.weight(other)[0])
+    return 0.0 if total <= 0 else max(1.0, 1.0 + float(np.log1p(1e6 * total / max(folded.count(" ") - 1, 1))) / 2)
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -119,7 +136,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
                 folded = fold(text.decode("utf-8", "replace")).split()
                 hashed = hash_words((w.encode() for w in folded), len(folded))
                 kinds.append(int(gram_hashes(hashed, 5).min().astype(np.int64)) if len(folded) >= 5 else int(hashed.min().astype(np.int64)) if len(folded) else 0)
-                terms.append(sorted({w for w in folded if len(w) > 2}))
+                terms.append(sorted({w for w in folded if len(w) > 2} | {f"{v} {w}" for v, w in pairwise(folded)}))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("label"), pa.array(kinds, pa.int64()), pa.array(terms, pa.list_(pa.string()))],
                 names=["doc_id", "label", "kind", "terms"],
@@ -131,18 +148,21 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame) -> Lexicon:
     n = once.agg(F.coalesce(F.sum("label"), F.lit(0.0)).alias("toxic"), F.count(F.lit(1)).alias("all")).first()
     toxic, other = n["toxic"], n["all"] - n["toxic"]
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("o") + 0.5) / (other + 1))
-    words = (
-        once.select("label", F.explode("terms").alias("word"))
-        .groupBy("word")
+    counts = cut(
+        once.select("label", F.explode("terms").alias("term"))
+        .groupBy("term")
         .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
-        .where(F.col("t") >= MIN_SUPPORT)
+        .where(F.greatest("t", "o") >= MIN_SUPPORT)
         .withColumn("weight", odds)
-        .where(F.col("weight") >= MIN_LOG_ODDS)
-        .orderBy(F.desc(F.col("weight") * F.sqrt("t")), "word")
-        .limit(LEXICON_WORDS)
-        .collect()
     )
-    return Lexicon({r["word"]: float(r["weight"]) for r in words})
+    phrase = F.col("term").contains(" ")
+    toxic_terms = counts.where((F.col("t") >= MIN_SUPPORT) & (F.col("weight") >= MIN_LOG_ODDS)).orderBy(F.desc(F.col("weight") * F.sqrt("t")), "term")
+    weights = {r["term"]: float(r["weight"]) for r in toxic_terms.where(~phrase).limit(LEXICON_WORDS).collect()}
+    # Phrases are chosen among those without a word of the lexicon, exceptions among those with one; both lists are bounded.
+    in_lexicon = F.arrays_overlap(F.split("term", " "), F.array(*map(F.lit, weights))) if weights else F.lit(False)
+    phrases = toxic_terms.where(phrase & ~in_lexicon).limit(LEXICON_PHRASES).collect()
+    harmless = counts.where(phrase & in_lexicon & (F.col("o") >= MIN_SUPPORT) & (F.col("weight") <= 0)).orderBy(F.desc("o"), "term").limit(LEXICON_PHRASES).collect()
+    return Lexicon(weights | {r["term"]: float(r["weight"]) for r in phrases}, (*EXCEPTIONS, *(r["term"] for r in harmless)))
 
 
 def with_density(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -153,41 +173,51 @@ def with_density(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         matcher = Matcher(lexicon)
         for batch in batches:
-            found = []
-            for text in byte_texts(batch):
-                folded = fold(text.decode("utf-8", "replace"))
-                found.append(density(matcher.weight(folded)[0], folded.count(" ") - 1))
+            found = [density(matcher, text) for text in byte_texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "density"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, density double")
 
 
+def _calibrates() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(CALIBRATES)) == 0
+
+
+def _usable(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """doc_id, label of the labelled rows that are not held out."""
+    return with_held_out(label_column(docs.sparkSession, labels, name), 5, 0).where("not held_out").drop("held_out")
+
+
+def _calibration(dense: DataFrame, usable: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the calibrated score. dense: doc_id, density of the rows that calibrate, or of more."""
+    counts = binned_counts(dense.where(_calibrates()).join(usable, "doc_id"), F.col("density"), F.col("label"), LOW, HIGH, BINS)
+    return isotonic(counts, LOW, HIGH, BINS)
+
+
 def keep_clean(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is scored below 0.5; see score_toxicity()."""
-    lexicon, x, y, _ = _fitted(docs, labels, name)
+    """The rows of docs, with all their columns, whose text is scored below 0.5; see score_toxicity().
+
+    Calibration matches only the texts that calibrate, so each text but those is matched once. Null and empty texts match
+    nothing and stay, as does everything where no lexicon can be learned; repeated rows are judged each by itself.
+    """
+    usable = _usable(docs, labels, name)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lexicon = learn_lexicon(texts, usable.where(~_calibrates()))
+    if not lexicon.weights:
+        return docs
+    x, y = _calibration(with_density(with_held_out(texts, 5, 0).where(~F.col("held_out") & _calibrates()), lexicon), usable)
+    if y.max() < 0.5 or y.min() >= 0.5:
+        return docs
 
     def run(batches):
         import pyarrow as pa
 
         matcher = Matcher(lexicon)
         for batch in batches:
-            keep = []
-            for text in byte_texts(batch):
-                folded = fold(text.decode("utf-8", "replace"))
-                keep.append(float(np.interp(density(matcher.weight(folded)[0], folded.count(" ") - 1), x, y)) < 0.5)
+            keep = [float(np.interp(density(matcher, text), x, y)) < 0.5 for text in byte_texts(batch)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if y.max() >= 0.5 and lexicon.weights else docs
-
-
-def _fitted(docs: DataFrame, labels: DataFrame, name: str) -> tuple[Lexicon, np.ndarray, np.ndarray, DataFrame]:
-    """Lexicon, knots of the calibration, and doc_id, held_out and density of all documents."""
-    usable = with_held_out(label_column(docs.sparkSession, labels, name), 5, 0).where("not held_out").drop("held_out")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lexicon = learn_lexicon(texts, usable)
-    dense = cut(with_held_out(with_density(texts, lexicon), 5, 0))
-    counts = binned_counts(dense.join(usable, "doc_id"), F.col("density"), F.col("label"), LOW, HIGH, BINS)
-    return lexicon, *isotonic(counts, LOW, HIGH, BINS), dense
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> DataFrame:
@@ -195,10 +225,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> D
 
     Returns doc_id, held_out (crc32 of doc_id as text leaves 0 by 5), score (0 to 1), predicted (1 from 0.5). An empty
     or null text matches nothing. Rows that repeat a doc_id are scored each by itself; contradicting labels take their
-    mean, half counting as 1; a null doc_id has no label and is not held out. Without usable labels the lexicon is
-    empty and every score is 0.5. Other columns are ignored.
+    mean, half counting as 1; a null doc_id has no label and is not held out. Without usable labels, or none among those
+    that calibrate, every score is 0.5. Other columns are ignored.
     """
-    _, x, y, dense = _fitted(docs, labels, name)
+    usable = _usable(docs, labels, name)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lexicon = learn_lexicon(texts, usable.where(~_calibrates()))
+    dense = cut(with_held_out(with_density(texts, lexicon), 5, 0))
+    x, y = _calibration(dense, usable)
 
     def run(batches):
         import pyarrow as pa
