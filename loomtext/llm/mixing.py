@@ -7,7 +7,8 @@ which the copy is read. Documents are then range-sorted by position.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,14 @@ from loomtext.llm.common import cut, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-#: Hash buckets of each source's stream; a source of any size is summed bucket by bucket.
-BUCKETS = 256
+#: Rows of a bucket of a source's stream that are summed in one task, about; a source of any size is summed bucket by bucket.
+BUCKET_ROWS = 50_000
+LEAST_BUCKETS = 256
+
+#: (time, weight) knots over training time 0..1 of each kind of source, relative to its mean weight; linear in between, so
+#: that two knots at one time are a step. Sources of the first weight fade, those of the last grow, the rest stay level.
+Schedule = Sequence[tuple[float, float]]
+SCHEDULES: tuple[Schedule, ...] = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -48,28 +55,47 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat
     return s.select("source", "source_size", F.coalesce(F.least("_cap", F.col("_at") * F.col("weight")), F.col("_cap")).alias("target"), "weight", "rank")
 
 
-def early_to_late(demand_share: Column, weight_rank: Column) -> Column:
-    """The inverse of the default schedules' integral: the time in 0..1 at which a source has had that share of its demand.
+def demand(schedule: Schedule) -> list[tuple[float, float, float, float, float]]:
+    """(share before, share behind, begin, weight at the begin, slope) of each piece: the schedule's integral, in shares of it all."""
+    times, weights = zip(*schedule, strict=True)
+    if times[0] != 0 or times[-1] != 1 or list(times) != sorted(times) or min(weights) < 0:
+        raise ValueError(f"a schedule goes from time 0 to 1, with weights of 0 or more: {schedule}")
+    areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in pairwise(schedule)]
+    total, before, pieces = sum(areas), 0.0, []
+    if total <= 0:
+        raise ValueError(f"a schedule wants something at some time: {schedule}")
+    for ((t0, w0), (t1, w1)), area in zip(pairwise(schedule), areas, strict=True):
+        if area > 0:
+            pieces.append((before / total, (before + area) / total, t0, w0 / total, (w1 - w0) / (t1 - t0) / total))
+            before += area
+    return pieces
+
+
+def time_of(share: Column, schedule: Schedule) -> Column:
+    """The time at which a source has had that share (0..1) of its demand: the inverse of the schedule's integral.
 
-    Sources of the first weight fade, from 1.5 to 0.5 times their mean weight; those of the last grow, from 0.5 to 1.5;
-    the rest stay level. The integral of 1.5 - t is 1.5 t - t^2 / 2, that of 0.5 + t is 0.5 t + t^2 / 2.
+    In a piece of weight w and slope m the demand since its begin is y = w t + m t^2 / 2, so t = 2 y / (w + sqrt(w^2 + 2 m y)).
     """
-    fading = F.lit(1.5) - F.sqrt(F.greatest(F.lit(0.0), 2.25 - 2 * demand_share))
-    growing = F.sqrt(0.25 + 2 * demand_share) - 0.5
-    return F.when(weight_rank == 0, fading).when(weight_rank == len(WEIGHTS) - 1, growing).otherwise(demand_share)
+    found = None
+    for before, behind, begin, weight, slope in demand(schedule):
+        y = F.greatest(F.lit(0.0), F.least(share, F.lit(behind)) - before)
+        root = F.sqrt(F.greatest(F.lit(0.0), weight * weight + 2 * slope * y))
+        t = begin + F.when(y > 0, 2 * y / (weight + root)).otherwise(F.lit(0.0))
+        found = F.when(share <= behind, t) if found is None else found.when(share <= behind, t)
+    return F.least(F.lit(1.0), found.otherwise(t))
 
 
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
-    inverse: Callable[[Column, Column], Column] = early_to_late,
-    buckets: int = BUCKETS,
+    schedules: tuple[Schedule, ...] = SCHEDULES,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """The mix of documents (doc_id, text, source): a row for each document, with the copies that are taken.
 
-    Returns doc_id, source, size, source_size, target, copies, taken, positions (training time of each copy, 0..1) and
-    _key (a hash of the row). Each source's documents stand in an order given by a hash of their doc_id and text; copy
+    weights are dealt to the sources in turn, and with each weight the schedule of the same place. Returns doc_id, source,
+    size, source_size, target, copies, taken, positions (training time of each copy, 0..1) and _key (a hash of the row). Each source's documents stand in an order given by a hash of their doc_id and text; copy
     after copy, they make a stream, of which a copy is taken if its middle lies before the target. So a source's
     taken words differ from its target by half a document at most. Nulls: a null text has no words, a null source is
     a source of its own, a null doc_id is a value like others. Documents without words are taken once where the source
@@ -80,10 +106,12 @@ def mix(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text").cast("string")).alias("size"),
-            F.xxhash64(F.col("doc_id").cast("string"), "text", "source").alias("_key"),
+            F.xxhash64(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"), F.col("source").cast("string")).alias("_key"),
         )
     )
-    sized = sized.withColumn("_b", F.pmod("_key", F.lit(buckets)))
+    # The leading bits of the key: however many there are, the order is that of the whole key.
+    bits = max(LEAST_BUCKETS, sized.count() // bucket_rows).bit_length() - 1
+    sized = sized.withColumn("_b", F.shiftright("_key", 64 - bits))
     by_bucket = cut(sized.groupBy("source", "_b").agg(F.sum("size").alias("_n")))
     goal = targets(by_bucket.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, max_repeats)
     before = W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -108,12 +136,20 @@ def mix(
     share = lambda k: F.least(
         F.lit(1.0), F.coalesce((F.col("_start") + k * F.col("source_size")) / F.when(F.col("target") > 0, F.col("target")), F.lit(0.0))
     )
+
+    def position(at: Column) -> Column:
+        kind = F.col("rank") % len(weights)
+        found = time_of(at, schedules[-1])
+        for k, schedule in enumerate(schedules[:-1]):
+            found = F.when(kind == k, time_of(at, schedule)).otherwise(found)
+        return found
+
     return (
         placed.withColumn("copies", copies)
         .withColumn("taken", F.col("copies").cast("long") * F.col("size"))
         .withColumn(
             "positions",
-            F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: inverse(share(k), F.col("rank") % len(weights)))).otherwise(
+            F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: position(share(k)))).otherwise(
                 F.array().cast("array<double>")
             ),
         )
@@ -122,10 +158,19 @@ def mix(
 
 
 def curriculum(docs: DataFrame, columns: list[str], **how) -> DataFrame:
-    """The documents in training order: each as often as it is taken, range-sorted by position.
+    """The documents (doc_id, text, source) in training order: each row as often as mix() takes it, range-sorted by position.
 
-    Rows are matched by doc_id, source and the hash that mix() gives them; equal rows take the same copies.
+    Rows are matched by doc_id and the hash of doc_id, text and source that mix() gives them. Rows that agree in these are
+    numbered by their other columns, so that each has the copies and positions of one row of mix(). Nulls are values like
+    others; an empty table gives no rows; columns are those that are returned.
     """
-    places = mix(docs, **how).where("copies > 0").dropDuplicates(["_key", "doc_id"]).select(F.col("_key").alias("_k"), F.col("doc_id").alias("_d"), F.explode("positions").alias("_position"))
-    keyed = docs.withColumn("_k", F.xxhash64(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"), F.col("source").cast("string")))
-    return keyed.join(places, (keyed["_k"] == places["_k"]) & keyed["doc_id"].cast("long").eqNullSafe(places["_d"])).orderBy("_position", "_d").select(*columns)
+    once = mix(docs, **how).groupBy(F.col("_key").alias("_k"), F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_list("positions")).alias("_all"))
+    named = docs.select(
+        *[F.col(c).alias(f"_out_{c}") for c in columns],
+        F.col("doc_id").cast("long").alias("_own"),
+        F.xxhash64(F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string"), F.col("source").cast("string")).alias("_of"),
+    )
+    order = W.partitionBy("_of", "_own").orderBy(F.xxhash64(*[F.col(f"_out_{c}") for c in columns]))
+    numbered = named.withColumn("_i", F.row_number().over(order))
+    taken = numbered.join(once, (F.col("_of") == F.col("_k")) & F.col("_own").eqNullSafe(F.col("_d"))).withColumn("_position", F.explode(F.element_at("_all", F.col("_i"))))
+    return taken.orderBy("_position", "_own", "_of").select(*[F.col(f"_out_{c}").alias(c) for c in columns])
