@@ -7,7 +7,7 @@ an interval join attributes tokens to sections. A token that crosses a boundary
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import byte_texts
@@ -77,17 +77,26 @@ def attribute(starts: np.ndarray, ends: np.ndarray, s0: np.ndarray, s1: np.ndarr
     return counts, crossing
 
 
-def section_tokens(docs: DataFrame, rule: str = "first", path: str | None = None) -> DataFrame:
-    """Tokens of each line of each whole document (doc_id, text), which is encoded once as a whole.
+def _ends(ends: list[int] | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that tile `size` bytes from where they end, in order; what lies behind the last end is the last span's."""
+    stops = np.minimum(np.maximum.accumulate(np.array([e or 0 for e in ends or []] or [size], np.int64)), size)
+    stops[-1] = size
+    return np.concatenate([[0], stops[:-1]]), stops
 
-    Returns doc_id, section (line, from 0), n_bytes, n_tokens (a fraction by the rule "share"), n_crossing (tokens of
-    which only a part is in the line), doc_tokens (of the whole document). The tokens of a document's sections sum to
-    doc_tokens. An empty or null text has one row: section 0 without tokens. Rows that repeat a doc_id are counted each by
-    itself; a null doc_id stays null; other columns are ignored.
+
+def section_tokens(docs: DataFrame, rule: str = "first", path: str | None = None, ends: Column | None = None) -> DataFrame:
+    """Tokens of each section of each whole document (doc_id, text), which is encoded once as a whole.
+
+    ends: the bytes (array<long>, ascending) at which a document's sections end, the last with the text; without it the
+    sections are the lines. Returns doc_id, section (from 0), n_bytes, n_tokens (a fraction by the rule "share"), n_crossing
+    (tokens of which only a part is in the section), doc_tokens (of the whole document). The tokens of a document's sections
+    sum to doc_tokens. An empty or null text has one row for lines: section 0 without tokens, and one for each of its ends
+    otherwise; sections without bytes have no tokens; null ends are one section. Rows that repeat a doc_id are counted each
+    by itself; a null doc_id stays null; other columns are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}, not {rule!r}")
-    file = path or tokenizer_path()
+    file, lines = path or tokenizer_path(), ends is None
     schema = "doc_id long, section int, n_bytes long, n_tokens double, n_crossing long, doc_tokens long"
 
     def run(batches):
@@ -96,10 +105,12 @@ def section_tokens(docs: DataFrame, rule: str = "first", path: str | None = None
         encoder = ByteEncoder(file)
         for batch in batches:
             docs_, parts = [], ([], [], [], [], [])
-            for doc, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch), strict=True):
+            for doc, text, stops in zip(batch.column("doc_id").to_pylist(), byte_texts(batch), batch.column("_ends").to_pylist(), strict=True):
                 starts, ends = encoder.spans(text)
-                s0, s1 = line_spans(text) if text else (np.zeros(1, np.int64), np.zeros(1, np.int64))
-                counts, crossing = attribute(starts, ends, s0, s1, rule)
+                s0, s1 = _ends(stops, len(text)) if not lines else line_spans(text) if text else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+                some = s0 < s1
+                counts, crossing = np.zeros(len(s0)), np.zeros(len(s0), np.int64)
+                counts[some], crossing[some] = attribute(starts, ends, s0[some], s1[some], rule)
                 docs_ += [doc] * len(s0)
                 for part, values in zip(parts, (np.arange(len(s0), dtype=np.int32), s1 - s0, counts, crossing, np.full(len(s0), len(starts), np.int64)), strict=True):
                     part.append(values)
@@ -107,4 +118,21 @@ def section_tokens(docs: DataFrame, rule: str = "first", path: str | None = None
             arrays = [pa.array(np.concatenate(p) if p else [], t) for p, t in zip(parts, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), *arrays], names=["doc_id", "section", "n_bytes", "n_tokens", "n_crossing", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    stops = F.lit(None).cast("array<long>") if lines else ends.cast("array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), stops.alias("_ends")).mapInArrow(run, schema)
+
+
+def field_tokens(docs: DataFrame, fields: list[str], separator: str = "\n", rule: str = "first", path: str | None = None) -> DataFrame:
+    """Tokens of each field of docs (doc_id and the fields), encoded as one text with a separator behind each field but the last.
+
+    Returns what section_tokens() does; section is the field's place in `fields`, and a separator belongs to the field
+    before it. A null field is empty.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]
+    parts = [F.concat(p, F.lit(separator)) for p in parts[:-1]] + parts[-1:]
+    ends, total = [], F.lit(0)
+    for part in parts:
+        total = total + F.octet_length(part)
+        ends.append(total.cast("long"))
+    whole = docs.select("doc_id", F.concat(*parts).alias("text"), F.array(*ends).alias("_stops"))
+    return section_tokens(whole, rule, path, F.col("_stops"))
