@@ -38,7 +38,7 @@ def op7_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(read_table(spark, sf_dir, "documents"), rules.trusted_by_label(read_table(spark, sf_dir, "labels")), grams=rules.token_grams)
+    return rules.judge(read_table(spark, sf_dir, "documents"), *rules.held_apart(rules.trusted_by_label(read_table(spark, sf_dir, "labels"))))
 
 
 def op9_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
