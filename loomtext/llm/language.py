@@ -4,9 +4,10 @@ The posterior of a page's language is the product of
 - the likelihood of its visible text, a multinomial over hashed runs of three bytes for each language, tempered because
   neighbouring runs depend on one another;
 - the likelihood of the language that its markup declares, and of its address suffix;
-- a prior from its host, smoothed towards its domain, and that towards all pages.
+- a prior from its host, smoothed towards the other hosts of its domain, and that towards all pages.
 The tables behind the last three are grouped sums of the text-only posteriors of all pages; a page's own part is taken
-out of its host's and domain's counts, so that it is not its own evidence.
+out of its host's counts, and the host's out of its domain's, so that no page counts twice and none for itself. Pages
+without an address have no host and no domain, and their prior is that of all pages.
 """
 
 from __future__ import annotations
@@ -49,12 +50,20 @@ def declared_language(html: bytes) -> str | None:
     return m.group(1).decode().lower() if m else None
 
 
+# Second-level labels under which a country's registry gives out names.
+REGISTRY_LABELS = ("ac", "co", "com", "edu", "gov", "ne", "net", "or", "org")
+
+
 def host_parts(url: str | None) -> tuple[str, str, str]:
-    """Host, domain (its last three labels, or what there is) and suffix (the last); empty where there is none."""
+    """Host, registered domain and suffix (the last label); empty where there is none.
+
+    A registered domain has two labels, or three under a registry's label before a country's two letters (example.co.uk).
+    """
     m = re.match(r"(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url or "")
     host = m.group(1).lower().strip(".") if m else ""
     labels = host.split(".")
-    return host, ".".join(labels[-3:]), labels[-1]
+    size = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in REGISTRY_LABELS else 2
+    return host, ".".join(labels[-size:]), labels[-1]
 
 
 def run_buckets(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
@@ -137,7 +146,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     Returns page_id, lang, probability, text_lang (of the text alone), declared, host. A null or empty page has no text
     evidence and takes its language from the rest; equal probabilities go to the first language in alphabetical order. A
-    null address is a host of its own. Without documents that name a language lang is null and probability 0. Rows that
+    null address is of no host. Without documents that name a language lang is null and probability 0. Rows that
     repeat a page_id are judged each by itself. Other columns are ignored.
     """
     counts = language_counts(docs)
@@ -169,8 +178,10 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
             # What is left without the page itself, never below 0.
             rest = lambda x: np.maximum(x - post, 0)
             world = (rest(total) + GLOBAL_WEIGHT) / (rest(total).sum(axis=1, keepdims=True) + GLOBAL_WEIGHT * n)
-            by_domain = (rest(domain) + DOMAIN_WEIGHT * world) / (rest(domain).sum(axis=1, keepdims=True) + DOMAIN_WEIGHT)
-            prior = (rest(host) + HOST_WEIGHT * by_domain) / (rest(host).sum(axis=1, keepdims=True) + HOST_WEIGHT)
+            named = np.array([bool(x) for x in batch.column("host").to_pylist()])[:, None]
+            others, own = np.maximum(domain - host, 0) * named, rest(host) * named
+            by_domain = (others + DOMAIN_WEIGHT * world) / (others.sum(axis=1, keepdims=True) + DOMAIN_WEIGHT)
+            prior = (own + HOST_WEIGHT * by_domain) / (own.sum(axis=1, keepdims=True) + HOST_WEIGHT)
             # P(suffix | language) and P(declared | language), by which share of the language's pages have it.
             likely = [np.log((rest(x) + world) / (rest(total) + 1)) for x in (suffix, said)]
             p = softmax(ll + np.log(prior) + likely[0] + likely[1])
