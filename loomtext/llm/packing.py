@@ -4,7 +4,8 @@ The method packs a bin at a time: a bitset subset-sum over the lengths that are
 combination, which is then removed. Lengths are at most `capacity`, so what is left is a histogram of at most
 `capacity` counts, whatever the input's size. The same combination stays the fullest while its lengths last, so it is
 removed as often as they allow at once: a plan has a few thousand combinations at most. Pieces are then dealt to the
-plan by their rank within their length, which each task works out for itself.
+plan by their rank within their length, which each task works out for itself. A bin is seeded with the longest length that
+is left. Pieces as long as a bin are a bin each: they are numbered where they lie and take no part in ranks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Words whose ids a worker remembers at most (about 100 MB); others are encoded each time.
 CACHE_WORDS = 400_000
+#: Rows of one length that a task ranks, about, and hash buckets that a length has at least.
+BUCKET_ROWS = 50_000
+LEAST_BUCKETS = 64
 #: Signs that are never part of a contraction.
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -210,6 +214,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     """
     pieces = cut(token_pieces(docs, path or tokenizer_path(), capacity))
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    histogram.pop(capacity, None)
     plan = minimum_slack_plan(histogram, capacity)
     # For each length: the ranks at which a combination begins to take it, its first bin, how many a bin takes, and where.
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -240,5 +245,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
             kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    ranked = bucketed_rank(pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_rank", 64)
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # The pieces were written, so a row's number is the same whenever it is read; below 0 no bin of the plan has one.
+    full = pieces.where(F.col("length") == capacity).select(*kept, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    buckets = max(LEAST_BUCKETS, max(histogram.values(), default=0) // BUCKET_ROWS)
+    ranked = bucketed_rank(pieces.where(F.col("length") < capacity), ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_rank", buckets)
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").union(full)
