@@ -228,17 +228,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     scratch = Scratch(docs.sparkSession)
     try:
         rows = scratch.write(_sampled(docs, window, lengths[0]), "sampled")
-        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("seg").alias("_lo"), F.max("seg").alias("_hi"), F.min(place).alias("_first")).where("_n > 1")
-        groups = groups.select(F.col("key").alias("_key"), (F.col("_lo") < F.col("_hi")).alias("several"), "_first")
+        groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("seg").alias("_lo"), F.max("seg").alias("_hi")).where("_n > 1")
+        groups = groups.select(F.col("key").alias("_key"), (F.col("_lo") < F.col("_hi")).alias("several"))
         alive = scratch.write(rows.join(groups, F.col("key") == F.col("_key")).drop("_key"), "alive")
         scratch.drop("sampled")
-        # A group with one segment: all but the earliest are repeated.
-        late = [alive.where(~F.col("several") & after("_first")).select("_d", "_h", "lo", "n")]
-        # In the others each segment is kept once, and its words are fetched.
-        several = alive.where("several").select("key", "seg", "_d", "_h", "lo", "n")
-        once = scratch.write(several.groupBy("key", "seg").agg(F.min(F.struct("_d", "_h", "lo", "n")).alias("_first"), F.count(F.lit(1)).alias("_n")), "once")
+        # Each segment is kept once; of groups with several, which need a tree, its words are fetched.
+        first = F.min(F.struct("_d", "_h", "lo", "n")).alias("_first")
+        once = scratch.write(alive.groupBy("key", "seg").agg(first, F.count(F.lit(1)).alias("_n"), F.bool_or("several").alias("several")), "once")
         again = once.where("_n > 1").select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), "_first")
-        late.append(several.join(again, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).where(after("_first")).select("_d", "_h", "lo", "n"))
+        late = [alive.join(again, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).where(after("_first")).select("_d", "_h", "lo", "n")]
+        once = once.where("several")
         wanted = once.select("key", "seg", "_first.*").groupBy(F.col("_d").alias("_wd"), F.col("_h").alias("_wh")).agg(F.collect_list(F.struct("key", "seg", "lo", "n")).alias("wanted"))
         asked = docs.join(wanted, (F.col("_d") == F.col("_wd")) & (F.col("_h") == F.col("_wh"))).select("_d", "_h", "text", "wanted")
         segments = scratch.write(_segments(asked, window), "segments")
