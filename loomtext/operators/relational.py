@@ -90,8 +90,6 @@ AGGREGATES = {
     "paragraph_chars": "SELECT doc_id, count(*) AS paragraphs, CAST(sum(length(text)) AS BIGINT) AS chars FROM {paragraphs} GROUP BY doc_id",
     "fill_rate": "SELECT d.lang, count(l.quality) AS done, count(*) AS total, CAST(sum(CASE WHEN l.quality IS NOT NULL THEN n_chars ELSE 0 END) AS BIGINT) AS chars FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY ROLLUP (d.lang)",
     "translator_ratio": "SELECT lang, count(*) AS n, avg(r) AS mean, CAST(sum(CASE WHEN r > 1 THEN 1 ELSE 0 END) AS BIGINT) AS longer FROM (SELECT d.lang, CAST(n_chars AS DOUBLE) / 1500 AS r FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE n_chars > 0) x GROUP BY lang",
-    "median_upper": "SELECT event_type, value AS m FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) x WHERE k = floor(n / 2)",
-    "median_lower": "SELECT event_type, value AS m FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) x WHERE k = floor((n - 1) / 2)",
     "median_mean": "SELECT event_type, CAST(floor(median(value)) AS BIGINT) AS m FROM {events} GROUP BY event_type",
     "extent": "SELECT event_type, avg(value) AS mean, min(value) AS low, max(value) AS high FROM {events} GROUP BY event_type",
     "duplicate_keys": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM {documents}) x WHERE k > 1",
@@ -110,10 +108,6 @@ AGGREGATES = {
         "SELECT lang, CAST(floor(median(n)) AS BIGINT) AS mid, max(n) AS longest, count(CASE WHEN n > 128 THEN 1 END) AS over, CAST(sum(greatest(n - 128, 0)) AS BIGINT) AS lost FROM (SELECT lang, CAST(len(toks) AS BIGINT) AS n FROM {tokens}) x GROUP BY lang",
     ),
     # Four special tokens come first.
-    "vocab_min_count": (
-        "SELECT token, n, CAST(3 + row_number() OVER (PARTITION BY 1 ORDER BY token) AS BIGINT) AS id FROM (SELECT token, count(*) AS n FROM (SELECT explode(toks) AS token FROM {tokens} WHERE lang = 'de') x GROUP BY token HAVING count(*) >= 2) y",
-        "SELECT token, n, CAST(3 + row_number() OVER (ORDER BY token) AS BIGINT) AS id FROM (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM {tokens} WHERE lang = 'de') x GROUP BY token HAVING count(*) >= 2) y",
-    ),
     "vocab_encode": (
         "WITH v AS (SELECT token FROM (SELECT explode(toks) AS token FROM {tokens} WHERE lang = 'de') x GROUP BY token HAVING count(*) >= 2) "
         "SELECT doc_id, count(*) AS n, count(CASE WHEN v.token IS NULL THEN 1 END) AS unknown FROM (SELECT doc_id, explode(toks) AS token FROM {tokens} WHERE lang = 'de') t LEFT JOIN v ON t.token = v.token GROUP BY doc_id",
@@ -128,24 +122,20 @@ AGGREGATES = {
 
 #: Windows
 WINDOWS = {
-    "paragraph_ordinals": "SELECT doc_id, source, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY f) - 1 AS BIGINT) AS ordinal FROM (SELECT doc_id, source, lang, min(doc_id) OVER (PARTITION BY lang, source) AS f FROM {documents}) x",
     "chapter_offsets": "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) x WHERE before IS NULL OR before <> role",
     "chapter_range": "WITH s AS (SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) x WHERE before IS NULL OR before <> role), "
     "t AS (SELECT conv_id, max(turn) + 1 AS total FROM {conversations} GROUP BY conv_id) SELECT s.conv_id, turn AS first, coalesce(lead(turn) OVER (PARTITION BY s.conv_id ORDER BY turn), total) AS last FROM s JOIN t ON s.conv_id = t.conv_id",
     "prefix_lengths": "SELECT doc_id, par, CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY par ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS chars FROM {paragraphs}",
-    "sequence_gaps": "SELECT doc_id + 1 AS first_missing, nxt - 1 AS last_missing FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY 1 ORDER BY doc_id) AS nxt FROM {labels}) x WHERE nxt > doc_id + 1",
     "log_ts_order": "SELECT loop, bool_and(ts >= before) AS ordered FROM (SELECT loop, ts, coalesce(lag(ts) OVER (PARTITION BY loop ORDER BY line), ts) AS before FROM {log}) x GROUP BY loop",
     "block_ids": "SELECT doc_id, par, CAST(floor((row_number() OVER (PARTITION BY doc_id ORDER BY par) - 1) / 5) AS BIGINT) AS block FROM {paragraphs}",
-    "paginate": "SELECT source, doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 12) AS BIGINT) AS page FROM {documents}",
     "translator_exact": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM {documents}) x WHERE k <= 12",
-    "two_strike_running": "SELECT line, loop, n FROM (SELECT line, loop, count(*) OVER (PARTITION BY loop ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM {log} WHERE event = 'failure') x WHERE n >= 2",
     "seeded_sample": ("SELECT doc_id FROM (SELECT doc_id FROM {documents} ORDER BY md5(concat('20260907:', CAST(doc_id AS STRING))), doc_id LIMIT 25) x", "SELECT doc_id FROM (SELECT doc_id FROM {documents} ORDER BY md5(concat('20260907:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 25) x"),
 }
 
 #: Set operations
 SETS = {
     "union_columns": "SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM {customer} UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM {supplier}",
-    "set_except": "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey FROM {supplier}",
+    "set_except": "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000",
     "set_intersect": "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}",
 }
 

@@ -68,6 +68,53 @@ def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# JSON lines of an event log made of the events: a file for each user, its first line a loop_start, some of their last ones a
+# loop_end, and faults of each kind in some lines. Both engines read this text; what differs is passed in.
+_LINE = """CASE WHEN event_id % 53 = 7 THEN concat('{{"v": "1.2", "broken', CAST(event_id AS {text}))
+  WHEN event_id % 59 = 11 THEN '[1, 2]' WHEN event_id % 61 = 13 THEN '' ELSE
+  concat('{{"v": ', CASE WHEN event_id % 4 = 0 THEN '"1.1"' WHEN event_id % 101 = 3 THEN '"x"' ELSE '"1.2"' END,
+  ', "ts": "', CASE WHEN event_id % 89 = 5 THEN 'T0' ELSE concat('T', lpad(CAST(event_id AS {text}), 12, '0')) END, '"',
+  CASE WHEN event_id % 67 = 17 THEN '' WHEN user_id % 13 = 4 AND event_id % 3 = 0 THEN ', "project": "other"' WHEN user_id % 17 = 6 THEN concat(', "project": "loop_', CAST(user_id AS {text}), '"') WHEN event_id % 103 = 9 THEN ', "project": 7' ELSE ', "project": "main"' END,
+  ', "loop_id": "loop_', CAST(CASE WHEN event_id % 71 = 19 THEN user_id + 1 ELSE user_id END AS {text}), '", "event": "', CASE WHEN event_id % 73 = 23 THEN 'unheard' ELSE kind END, '", "data": ',
+  CASE WHEN event_id % 79 = 29 THEN '"none"' ELSE
+  CASE kind WHEN 'loop_start' THEN concat('{{"goal": "g', CAST(event_id AS {text}), '", "spec_refs": ', CASE WHEN event_id % 5 = 1 THEN '"A"' ELSE '["A", "B"]' END, ', "scaffold_version": "1", "agent": "x"}}')
+  WHEN 'loop_end' THEN concat('{{"outcome": "', CASE WHEN event_id % 4 = 1 THEN 'odd' ELSE 'success' END, '", "failure_count": ', CAST(event_id % 9 AS {text}), ', "summary": "s"}}')
+  WHEN 'failure' THEN concat('{{"code": "', CASE event_id % 7 WHEN 0 THEN 'SPEC-AMB' WHEN 1 THEN 'CTX-ROT' WHEN 2 THEN 'GEN-LOGIC' WHEN 3 THEN 'NEW-CODE' WHEN 4 THEN concat('X-', CAST(event_id AS {text})) ELSE 'TOOL-ENV' END, '", "severity": "S', CAST(event_id % 4 AS {text}),
+    '", "detected_stage": ', CASE WHEN event_id % 6 = 2 THEN '1.5' WHEN event_id % 6 = 4 THEN 'true' ELSE '3' END, ', "summary": "s", "resolution": "', CASE event_id % 3 WHEN 0 THEN 'retry' WHEN 1 THEN 'harness_fix' ELSE 'hope' END, '"', CASE WHEN event_id % 8 = 3 THEN ', "harness_ref": "HC-1"' ELSE '' END, '}}')
+  WHEN 'commit' THEN concat('{{"sha": ', CASE WHEN event_id % 5 = 2 THEN '72817' ELSE '"72817e6"' END, ', "kind": "', CASE WHEN event_id % 6 = 5 THEN 'style' ELSE 'fix' END, '"}}')
+  WHEN 'test_run' THEN concat('{{"command": "c"', CASE WHEN event_id % 7 = 3 THEN '' ELSE ', "passed": 3' END, ', "failed": ', CASE WHEN event_id % 7 = 5 THEN 'null' ELSE '0' END, '}}')
+  ELSE concat('{{"supersedes": ', CASE WHEN event_id % 11 = 4 THEN '"two"' ELSE CAST(line - 1 - k % 4 AS {text}) END, ', "reason": "r"}}') END END, '}}') END"""
+_LINES = """SELECT concat('loop_', CAST(user_id AS {text})) AS file, line, event_id, {line} AS raw FROM (
+  SELECT user_id, event_id, line, k, CASE WHEN line = 1 AND user_id % 11 <> 3 THEN 'loop_start' WHEN n - line = 3 + user_id % 3 AND user_id % 2 = 0 THEN 'loop_end'
+    WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'purchase' THEN 'commit' WHEN event_type = 'view' THEN 'test_run' WHEN event_type = 'click' THEN 'correction' ELSE 'loop_start' END AS kind
+  FROM (SELECT user_id, event_id, event_type, {k} AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, count(*) OVER (PARTITION BY user_id) AS n FROM {events}) a) b"""
+
+
+def _lines_sql(text: str, k: str, events: str) -> str:
+    return _LINES.format(text=text, k=k, events=events, line=_LINE.format(text=text))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, line, raw: the log that is there: each file but its last three lines."""
+    return _log_parts(spark, sf_dir).where("_last > 3").select("file", "line", "raw")
+
+
+def new_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, raw: each file's last three lines, as records that are to be appended; equal ones once."""
+    return _log_parts(spark, sf_dir).where("_last <= 3 AND raw <> ''").select("file", "raw").distinct()
+
+
+def _log_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    text = _lines_sql("STRING", "CAST(get_json_object(props, '$.k') AS BIGINT)", "<events>")
+    rows = spark.sql(text.replace("{", "{{").replace("}", "}}").replace("<events>", "{events}"), events=events)
+    return rows.withColumn("_last", F.row_number().over(W.partitionBy("file").orderBy(F.desc("line"))))
+
+
+_DUCK_LINES = "_logged AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line DESC) AS back FROM (" + _lines_sql("VARCHAR", "CAST(json_extract_string(props, '$.k') AS BIGINT)", "events") + "))"
+LOG_LINES_SQL = _DUCK_LINES + ", log_lines AS (SELECT file, line, raw FROM _logged WHERE back > 3)"
+NEW_LINES_SQL = " new_lines AS (SELECT DISTINCT file, raw FROM _logged WHERE back <= 3 AND raw <> '')"
+
 # DuckDB twins of the views above, for oracles: common table expressions to put behind WITH.
 PARAGRAPHS_SQL = r"""
 _lines AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
