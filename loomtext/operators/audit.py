@@ -2,42 +2,135 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomtext.functions import text as X
+from loomtext.plans.registry import query
 from loomtext.plans.shared import shared, shared_all
+from loomtext.sources.scratch import global_rank
+from loomtext.sources.tables import PARAGRAPHS_SQL, SIDES_SQL, conversation_sides, paragraphs
+
+class Term(NamedTuple):
+    """A glossary entry: forms of which a translation must have one; whole: found as a word only, not as a word's beginning."""
+
+    term: str
+    kind: str
+    forms: tuple[str, ...]
+    whole: bool = False
+
 
-# A glossary: term, kind, and the forms of which one must be in the translation.
-GLOSSARY = "(VALUES ('the', 'name', 'the'), ('and', 'name', 'und'), ('with', 'term', 'for'), ('tion', 'term', 'was')) AS g(term, kind, form)"
+# A glossary over the invented prose of the driver's tables; a user passes one's own.
+GLOSSARY = (Term("the", "name", ("the", "der", "die"), True), Term("and", "name", ("und", "et", "and")), Term("with", "term", ("for", "mit")), Term("wat", "term", ("was", "water")), Term("der", "term", ("le",), True))
 #: src, dst: turns of a conversation, joined by position, stand for a paragraph and its translation.
 PAIRED = "(SELECT s.pair_id, s.ord, s.text AS src, d.text AS dst FROM {sides} s JOIN {sides} d ON s.pair_id = d.pair_id AND s.ord = d.ord WHERE s.side = 'src' AND d.side = 'dst')"
 
 
-def _terms(kind: str) -> str:
-    return (
-        "SELECT p.pair_id, p.ord, g.term FROM " + PAIRED + " p JOIN " + GLOSSARY + f" ON p.src LIKE concat('%', g.term, '%') WHERE g.kind = '{kind}' "
-        "GROUP BY p.pair_id, p.ord, g.term HAVING NOT bool_or(p.dst LIKE concat('%', g.form, '%'))"
-    )
+def hits(text: Column, glossary: tuple[Term, ...] = GLOSSARY) -> Column:
+    """term, n: how often each term of the glossary that a text has occurs in it. One scan; the glossary is no table."""
+    counts = [F.struct(F.lit(t.term).alias("term"), F.regexp_count(text, F.lit(X.term_pattern(t.term, t.whole))).cast("long").alias("n")) for t in glossary]
+    return F.filter(F.array(*counts), lambda x: x["n"] > 0)
+
+
+def missing_terms(pairs: DataFrame, kind: str, glossary: tuple[Term, ...] = GLOSSARY) -> DataFrame:
+    """pair_id, ord, src, dst -> pair_id, ord, term: terms of the source of which the translation has no form."""
+    checks = [F.when(F.col("src").rlike(X.term_pattern(t.term, t.whole)) & ~F.exists(F.array(*map(F.lit, t.forms)), lambda f: F.contains("dst", f)), F.lit(t.term)) for t in glossary if t.kind == kind]
+    return pairs.select("pair_id", "ord", F.explode(F.array_compact(F.array(*checks))).alias("term"))
+
+
+def registry(paras: DataFrame, glossary: tuple[Term, ...] = GLOSSARY) -> DataFrame:
+    """doc_id, par, term, n of each paragraph and each term that it has."""
+    return paras.select("doc_id", "par", F.explode(hits(F.col("text"), glossary)).alias("h")).select("doc_id", "par", "h.term", "h.n")
+
+
+# The oracle's patterns: RE2 has no look-around, so that the sign before a word is part of the match.
+_LETTER = r"[\p{L}\p{M}\p{N}\p{Pc}]"
+
+
+def _duck_pattern(t: Term) -> str:
+    return rf"(?:^|[^{_LETTER[1:-1]}]){t.term}" + (rf"(?:[^{_LETTER[1:-1]}]|$)" if t.whole else f"{_LETTER}*")
+
+
+_TERMS_SQL = "g(term, kind, pattern, forms) AS (VALUES " + ", ".join(f"('{t.term}', '{t.kind}', '{_duck_pattern(t)}', {list(t.forms)})" for t in GLOSSARY) + ")"
+# Signs around a whole word may serve two of them, so blanks are doubled before matches are counted.
+_COUNT_SQL = r"CAST(len(regexp_extract_all(regexp_replace(p.text, '([^\p{L}\p{M}\p{N}\p{Pc}])', '\1\1', 'g'), g.pattern)) AS BIGINT)"
+_REGISTRY_SQL = "WITH " + PARAGRAPHS_SQL + ", " + _TERMS_SQL + ", r AS (SELECT p.doc_id, p.par, g.term, " + _COUNT_SQL + " AS n FROM paragraphs p JOIN g ON regexp_matches(p.text, g.pattern))"
+_MISSING_SQL = "WITH " + SIDES_SQL + ", " + _TERMS_SQL + " SELECT p.pair_id, p.ord, g.term FROM " + PAIRED.format(sides="sides") + " p JOIN g ON regexp_matches(p.src, g.pattern) WHERE g.kind = '{kind}' AND NOT list_bool_or(list_transform(g.forms, lambda f: contains(p.dst, f)))"
+
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT * FROM " + PAIRED, sides=conversation_sides(spark, sf_dir))
+
+
+@query(_MISSING_SQL.replace("{kind}", "name"))
+def audit_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_terms(paired(spark, sf_dir), "name")
+
+
+@query(_MISSING_SQL.replace("{kind}", "term"))
+def audit_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing_terms(paired(spark, sf_dir), "term")
+
+
+@query(_REGISTRY_SQL + " SELECT term, count(*) AS n FROM r GROUP BY term")
+def term_paragraph_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry(paragraphs(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_REGISTRY_SQL + " SELECT term, CAST(sum(n) AS BIGINT) AS hits, min(doc_id) AS first_doc FROM r GROUP BY term")
+def registry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry(paragraphs(spark, sf_dir)).groupBy("term").agg(F.sum("n").alias("hits"), F.min("doc_id").alias("first_doc"))
+
+
+@query("WITH " + PARAGRAPHS_SQL + ", " + _TERMS_SQL + " SELECT count(*) AS total, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM g WHERE regexp_matches(p.text, g.pattern))) AS hits FROM paragraphs p")
+def registry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    any_of = F.col("text").rlike("|".join(X.term_pattern(t.term, t.whole) for t in GLOSSARY))
+    return paragraphs(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if(any_of).alias("hits"))
+
+
+@query(_REGISTRY_SQL + " SELECT g.term, g.kind, x.doc_id, x.par FROM g LEFT JOIN (SELECT term, doc_id, par FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, par) AS k FROM r) WHERE k = 1) x ON x.term = g.term")
+def word_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each term with the first paragraph that has it."""
+    first = registry(paragraphs(spark, sf_dir)).groupBy(F.col("term").alias("_t")).agg(F.min(F.struct("doc_id", "par")).alias("at"))
+    terms = spark.createDataFrame([(t.term, t.kind) for t in GLOSSARY], "term string, kind string")
+    return terms.join(first, F.col("term") == F.col("_t"), "left").select("term", "kind", "at.doc_id", "at.par")
 
 
 AUDITS = {
     "audit_paragraphs": "SELECT d.pair_id, d.ord, 'unknown' AS problem FROM {sides} d LEFT ANTI JOIN (SELECT pair_id, ord FROM {sides} WHERE side = 'src') s ON s.pair_id = d.pair_id AND s.ord = d.ord WHERE d.side = 'dst' "
     "UNION ALL SELECT pair_id, ord, 'empty' FROM {sides} WHERE side = 'dst' AND trim(text) = '' "
     "UNION ALL SELECT s.pair_id, s.ord, 'missing' FROM {sides} s LEFT ANTI JOIN (SELECT pair_id, ord FROM {sides} WHERE side = 'dst') d ON s.pair_id = d.pair_id AND s.ord = d.ord WHERE s.side = 'src'",
-    "audit_names": _terms("name"),
-    "audit_terms": _terms("term"),
-    "term_paragraph_join": "SELECT g.term, count(*) AS n FROM {paragraphs} p JOIN " + GLOSSARY + " ON p.text LIKE concat('%', g.term, '%') GROUP BY g.term",
-    "registry_facts": "SELECT g.term, CAST(sum((length(p.text) - length(replace(p.text, g.term, ''))) / length(g.term)) AS BIGINT) AS hits, min(p.doc_id) AS first_doc FROM {paragraphs} p JOIN "
-    + GLOSSARY + " ON p.text LIKE concat('%', g.term, '%') GROUP BY g.term",
-    "registry_coverage": "SELECT count(*) AS total, count(CASE WHEN EXISTS_HIT THEN 1 END) AS hits FROM (SELECT p.doc_id, p.par, bool_or(p.text LIKE concat('%', g.term, '%')) AS EXISTS_HIT FROM {paragraphs} p CROSS JOIN " + GLOSSARY + " GROUP BY p.doc_id, p.par) x",
     "registry_untouched": "SELECT term FROM (VALUES ('the'), ('zzz-none'), ('qqq')) AS g(term) WHERE NOT EXISTS (SELECT 1 FROM {benchmark} b WHERE b.text LIKE concat('%', g.term, '%'))",
     "audit_rights": "SELECT k, 'extra' AS problem FROM (SELECT s_nationkey AS k FROM {supplier} GROUP BY s_nationkey) a WHERE k NOT IN (SELECT n_nationkey FROM {nation} WHERE n_nationkey < 20) "
     "UNION ALL SELECT n_nationkey, 'empty field' FROM {nation} WHERE coalesce(n_name, '') = ''",
-    "word_cards": "SELECT g.term, g.kind, x.doc_id, x.par FROM " + GLOSSARY + " LEFT JOIN (SELECT term, doc_id, par FROM (SELECT h.term, p.doc_id, p.par, row_number() OVER (PARTITION BY h.term ORDER BY p.doc_id, p.par) AS k FROM {paragraphs} p JOIN "
-    + GLOSSARY.replace("AS g(", "AS h(") + " ON p.text LIKE concat('%', h.term, '%')) y WHERE k = 1) x ON x.term = g.term",
-    "audit_lengths": "SELECT pair_id, ord FROM (SELECT r.pair_id, r.ord, r.ratio, m.mid, m.n FROM (SELECT pair_id, ord, CAST(length(dst) AS DOUBLE) / length(src) AS ratio FROM " + PAIRED + " p WHERE length(src) > 0) r CROSS JOIN "
-    "(SELECT max(CASE WHEN k = floor(n / 2) THEN ratio END) AS mid, max(n) AS n FROM (SELECT ratio, row_number() OVER (PARTITION BY 1 ORDER BY ratio) - 1 AS k, count(*) OVER (PARTITION BY 1) AS n FROM "
-    "(SELECT CAST(length(dst) AS DOUBLE) / length(src) AS ratio FROM " + PAIRED + " p WHERE length(src) > 0) a) b) m) c WHERE n >= 5 AND (ratio < 0.6 * mid OR ratio > 1.6 * mid)",
     "manifest": "SELECT lang, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT source) AS sources FROM {documents} GROUP BY lang",
 }
 
+
+
+@query(
+    "WITH "
+    + SIDES_SQL
+    + ", r AS (SELECT pair_id, ord, CAST(length(dst) AS DOUBLE) / length(src) AS ratio FROM "
+    + PAIRED.format(sides="sides")
+    + " p WHERE length(src) > 0), k AS (SELECT ratio, row_number() OVER (ORDER BY ratio) - 1 AS k, count(*) OVER () AS n FROM r), m AS (SELECT ratio AS mid, n FROM k WHERE k = n // 2) SELECT pair_id, ord FROM r, m WHERE n >= 5 AND (ratio < 0.6 * mid OR ratio > 1.6 * mid)"
+)
+def audit_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose ratio of lengths leaves a band around the upper median of all; none where there are fewer than five."""
+    rows = paired(spark, sf_dir).where("length(src) > 0").select("pair_id", "ord", (F.length("dst").cast("double") / F.length("src")).alias("ratio"))
+    return outside_band(rows, 0.6, 1.6)
+
+
+def outside_band(rows: DataFrame, low: float, high: float, least: int = 5) -> DataFrame:
+    """pair_id, ord of the rows (pair_id, ord, ratio) below low or above high times the upper median; none of fewer than least."""
+    ranked = global_rank(rows, ["ratio"])
+    mid = ranked.groupBy().agg(F.count(F.lit(1)).alias("_n"))
+    at = ranked.join(F.broadcast(mid), F.col("rank") == F.floor(F.col("_n") / 2)).where(F.col("_n") >= least).select(F.col("ratio").alias("_mid"))
+    return ranked.join(F.broadcast(at), (F.col("ratio") < low * F.col("_mid")) | (F.col("ratio") > high * F.col("_mid"))).select("pair_id", "ord")
+
+
 for _name, _sql in AUDITS.items():
     shared(_name, _sql, _sql.replace("LEFT ANTI JOIN", "ANTI JOIN"))
 
