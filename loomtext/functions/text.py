@@ -66,3 +66,23 @@ def term_pattern(term: str, whole: bool) -> str:
 def glob_regex(glob: str) -> str:
     """A shell pattern (* and ?) as a regular expression for the whole string."""
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else rf"\Q{c}\E" for c in glob) + "$"
+
+
+def strip_ansi(t: Column) -> Column:
+    """A terminal's output without its colour and cursor sequences."""
+    return F.regexp_replace(t, r"\x1b\[[0-9;?]*[ -/]*[@-~]", "")
+
+
+def percent(x: Column, digits: int = 1) -> Column:
+    """0.1234 as 12.3%."""
+    return F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%"))
+
+
+def thousands(n: Column) -> Column:
+    """1234567 as 1,234,567."""
+    return F.format_number(n, 0)
+
+
+def iso_time(t: Column, zone: str = "+09:00") -> Column:
+    """A moment as ISO 8601 to the second at a fixed offset from UTC. The session's time zone has to be UTC."""
+    return F.concat(F.date_format(F.from_utc_timestamp(t, zone), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from loomtext.functions import text as X
 from loomtext.operators.align import LINKS_SQL, links_by_method
 from loomtext.plans.registry import query
 from loomtext.sources import formats
@@ -53,51 +54,102 @@ def window_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Numerals and idioms, with the forms a translation may have; and beginnings that only look like numerals.
-NUMERALS = (("zwei", ("two",)), ("drei", ("three",)), ("dreizehn", ("thirteen",)), ("ein paar", ("a few", "some")), ("vier", ("four",)))
-FALSE_FRIENDS = ("viert", "zweifel")
-
-
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("term", T.StringType())])
-
-
-@F.pandas_udf(T.ArrayType(_SPAN))
-def _spans(texts: pd.Series) -> pd.Series:
-    order = sorted(NUMERALS, key=lambda x: -len(x[0]))
-
-    def one(text: str | None) -> list[dict]:
-        low, taken = (text or "").lower(), []
-        for term, _ in order:
-            at = low.find(term)
-            while at >= 0:
-                end = at + len(term)
-                begins = at == 0 or not low[at - 1].isalpha()
-                if begins and not any(low.startswith(f, at) for f in FALSE_FRIENDS) and not any(at < e and s < end for s, e, _ in taken):
-                    taken.append((at, end, term))
-                at = low.find(term, at + 1)
-        return [{"start": s, "stop": e, "term": t} for s, e, t in sorted(taken)]
-
-    return texts.map(one)
+# Idioms and numerals of German, with the forms of which a translation must have one, and beginnings of words
+# that only look like numerals.
+IDIOMS = {
+    "halb sieben": ("六時半", "六時三十分", "六時 30 分"),
+    "einviertel acht": ("七時十五分", "七時 15 分"),
+    "dreiviertel": ("四十五分", "十五分前", "45 分"),
+    "viertelstund": ("十五分", "四半時", "15 分"),
+    "viertelstünd": ("十五分", "四半時", "15 分"),
+    "Halbschlaf": ("まどろみ", "うたた寝", "半"),
+    "halbverfault": ("半ば腐", "腐りかけ", "半"),
+    "halblaut": ("小声", "半ば声", "低い声", "半"),
+}
+NUMERALS = {
+    "zwei": ("二", "2", "ふた", "両"),
+    "drei": ("三", "3", "み"),
+    "vier": ("四", "4", "よ"),
+    "fünf": ("五", "5", "いつ"),
+    "sechs": ("六", "6", "む"),
+    "sieben": ("七", "7", "なな"),
+    "acht": ("八", "8", "や"),
+    "neun": ("九", "9"),
+    "zehn": ("十", "10"),
+    "sechzehn": ("十六", "16"),
+    "siebzehn": ("十七", "17"),
+    "elf": ("十一", "11"),
+    "zwölf": ("十二", "12"),
+    "hundert": ("百", "100"),
+    "tausend": ("千", "1000"),
+    "halb": ("半", "半分", "なかば"),
+    "Uhr": ("時", "時計"),
+}
+NOT_NUMBERS = ("achten", "achtete", "zweifel")
+
+
+def spans_of_numbers(texts: DataFrame, terms: tuple[str, ...] = (*IDIOMS, *NUMERALS)) -> DataFrame:
+    """id, text -> id, term, nth, word: each place where a word begins with a term, the longest terms first.
+
+    A term's words are taken from what longer terms left: taken words are blanked out, one term after another, so that no
+    place counts twice. Words that only look like numbers are blanked out before. Case does not matter.
+    """
+    order = sorted(terms, key=lambda t: -len(t))
+    rest = F.regexp_replace("text", r"(?iu)(?U)\b(" + "|".join(NOT_NUMBERS) + r")\w*", "\x01")
+    found = []
+    for term in order:
+        pattern = rf"(?iu)(?U)\b\Q{term}\E\w*"
+        words = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
+        found.append(F.arrays_zip(F.array_repeat(F.lit(term), F.size(words)).alias("term"), words.alias("word")))
+        rest = F.regexp_replace(rest, pattern, "\x01")
+    return texts.select("id", F.explode(F.flatten(F.array(*found))).alias("s")).select("id", "s.term", "s.word")
+
+
+_NUMBER_TEXTS = (
+    (1, "Es war halb sieben Uhr, zwei Tage lang.", "六時半だった、二日。"), (2, "Im Halbschlaf zweifelte er; dreiviertel vierzehn.", "まどろみの中で、十五分前。"), (3, "nichts", "なし"),
+    (4, "Achten Sie auf die achtzig, Zweifel hin, ACHT her, Hunderte.", "八十、八、百。"), (5, "Eine Viertelstunde und einviertel acht", "十五分と七時半"),
+)
+_NUMBERS_SQL = "n AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{d}')" for i, s, d in _NUMBER_TEXTS) + ") v(id, src, dst))"
+# The oracle's spans: every place of every term by its position; a longer term's place hides those that overlap it.
+_NUMBER_SPANS_SQL = (
+    _NUMBERS_SQL
+    + ", t(term) AS (VALUES "
+    + ", ".join(f"('{t}')" for t in (*IDIOMS, *NUMERALS))
+    + r"""), w AS (SELECT id, lower(src) AS x, unnest(range(1, length(src) + 1)) AS pos FROM n),
+b AS (SELECT id, x, pos FROM w WHERE pos = 1 OR NOT regexp_matches(substr(x, pos - 1, 1), '[\p{L}\p{N}_]')),
+p AS (SELECT b.id, t.term, pos, pos + length(t.term) + length(regexp_extract(substr(x, pos + length(t.term)), '^[\p{L}\p{N}_]*')) AS stop, substr(x, pos) AS tail FROM b JOIN t ON starts_with(substr(x, pos), lower(t.term))),
+g AS (SELECT * FROM p WHERE """
+    + " AND ".join(f"NOT starts_with(tail, '{w}')" for w in NOT_NUMBERS)
+    + """),
+s AS (SELECT id, term, substr(tail, 1, CAST(stop - pos AS INT)) AS word FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.id = g.id AND h.pos < g.stop AND g.pos < h.stop AND length(h.term) > length(g.term)))"""
+)
 
 
-_NUMBER_TEXTS = ((1, "Zwei und dreizehn, ein paar.", "two and thirteen, some"), (2, "Zweifel im Viertel, drei", "doubt, four"), (3, "nichts", "none"))
+def _number_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_NUMBER_TEXTS, "id int, src string, dst string")
 
 
-def number_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_NUMBER_TEXTS, "id int, src string, dst string").select("id", "dst", F.explode(_spans("src")).alias("s")).select("id", "dst", "s.*")
+@query("WITH " + _NUMBER_SPANS_SQL + " SELECT id, term, word FROM s")
+def number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_of_numbers(_number_table(spark).select("id", F.col("src").alias("text"))).select("id", "term", F.lower("word").alias("word"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 4, 'zwei'), (1, 9, 17, 'dreizehn'), (1, 19, 27, 'ein paar'), (2, 20, 24, 'drei')) AS v(id, start, stop, term)")
-def number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest first; a span that overlaps one taken before, or begins a false friend, is left out."""
-    return number_table(spark).select("id", "start", "stop", "term")
+def missing_numbers(pairs: DataFrame) -> DataFrame:
+    """id, src, dst -> id, term: numbers of the source of which the translation has no form."""
+    forms = {**IDIOMS, **NUMERALS}
+    ok = F.lit(False)
+    for term, shapes in forms.items():
+        ok |= (F.col("term") == term) & F.expr(" or ".join(f"contains(dst, '{f}')" for f in shapes))
+    found = spans_of_numbers(pairs.select("id", F.col("src").alias("text"))).select("id", "term").distinct()
+    return found.join(pairs.select(F.col("id").alias("_id"), "dst"), F.col("id") == F.col("_id")).where(~ok).select("id", "term")
 
 
-@query("SELECT 2 AS id, 'drei' AS term")
+@query(
+    "WITH " + _NUMBER_SPANS_SQL + ", f(term, form) AS (VALUES " + ", ".join(f"('{t}', '{f}')" for t, fs in {**IDIOMS, **NUMERALS}.items() for f in fs) + ") "
+    "SELECT DISTINCT s.id, s.term FROM s JOIN n ON n.id = s.id WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.term = s.term AND contains(n.dst, f.form))"
+)
 def audit_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numerals of the source of which the translation has no form."""
-    forms = spark.createDataFrame([(t, f) for t, fs in NUMERALS for f in fs], "term string, form string")
-    return number_table(spark).join(F.broadcast(forms), "term").groupBy("id", "term").agg(F.bool_or(F.contains("dst", "form")).alias("ok")).where("not ok").select("id", "term")
+    return missing_numbers(_number_table(spark))
 
 
 @query(
@@ -121,12 +173,28 @@ def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.unionByName(dst).groupBy("pair_id", "par").pivot("side", ["src", "dst"]).agg(listed).select("pair_id", "par", F.nullif("src", F.lit("")).alias("src"), F.nullif("dst", F.lit("")).alias("dst"))
 
 
-@query("WITH t AS (SELECT n, list_filter([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000], lambda x: x >= floor(n / 5.0 + 0.5))[1] AS step FROM (VALUES (9), (97), (696)) v(n)) SELECT n, unnest(list_distinct(list_concat(range(0, n - 1, step), [n - 1]))) AS tick FROM t")
+# Steps between ticks; above the last, hundreds.
+STEPS = (1, 2, 5, 10, 20, 25, 50, 100, 200, 250, 500)
+_AXES = ((1, 5), (2, 5), (9, 5), (97, 5), (120, 5), (696, 5), (1227, 5), (1227, 0), (4961, 6))
+
+
+def ticks(axes: DataFrame) -> DataFrame:
+    """n, approx -> tick: about `approx` ticks on 0..n-1, at the first step that is wide enough, and the end."""
+    raw = F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest("approx", F.lit(1)) + 0.5)).cast("int")
+    wide = F.filter(F.array(*map(F.lit, STEPS)), lambda x: x >= F.col("_raw"))
+    step = F.when(F.size("_wide") > 0, F.get("_wide", F.lit(0))).otherwise((F.ceil(F.col("_raw") / 100) * 100).cast("int"))
+    t = axes.withColumn("_raw", raw).withColumn("_wide", wide).withColumn("_step", step)
+    marks = F.when(F.col("n") <= 1, F.array(F.lit(0))).otherwise(F.array_union(F.sequence(F.lit(0), F.col("n") - 1, F.col("_step")), F.array(F.col("n") - 1)))
+    return t.select("n", "approx", F.explode(marks).alias("tick")).select("n", "approx", F.col("tick").cast("long").alias("tick"))
+
+
+@query(
+    "WITH a(n, approx) AS (VALUES " + ", ".join(map(str, _AXES)) + "), r AS (SELECT *, CAST(greatest(1, floor(CAST(n AS DOUBLE) / greatest(approx, 1) + 0.5)) AS INT) AS raw FROM a), "
+    "s AS (SELECT *, coalesce((SELECT min(x) FROM (VALUES " + ", ".join(f"({x})" for x in STEPS) + ") v(x) WHERE x >= raw), CAST(ceil(raw / 100.0) * 100 AS INT)) AS step FROM r) "
+    "SELECT n, approx, CAST(t AS BIGINT) AS tick FROM (SELECT n, approx, unnest(range(0, n, step)) AS t FROM s UNION SELECT n, approx, greatest(n - 1, 0) FROM s)"
+)
 def axis_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About five ticks on 0..n-1 at the first nice step that is wide enough, and the end."""
-    nice = F.array(*[F.lit(x) for x in (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000)])
-    t = spark.createDataFrame([(9,), (97,), (696,)], "n int").withColumn("step", F.filter(nice, lambda x: x >= F.floor(F.col("n") / 5 + 0.5))[0])
-    return t.select("n", F.explode(F.array_union(F.expr("sequence(0, n - 2, step)"), F.array(F.col("n") - 1))).alias("tick")).select("n", F.col("tick").cast("long").alias("tick"))
+    return ticks(spark.createDataFrame(_AXES, "n int, approx int"))
 
 
 @query(
@@ -244,6 +312,18 @@ def bundle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + LINKS_SQL + " SELECT method, count(*) AS links, count(DISTINCT pair_id) AS pairs FROM links GROUP BY method")
-def zure_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+def links_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bundle(links_by_method(spark, sf_dir).select("method", "pair_id", "i", "j"), ["method", "pair_id"], "links")
     return made.groupBy("method").agg(F.sum(F.json_array_length("links")).alias("links"), F.count("*").alias("pairs"))
+
+
+@query(
+    r"""SELECT event_id, regexp_replace(chr(27) || '[32m' || CAST(event_id AS VARCHAR) || ' passed' || chr(27) || '[0m', '\x1b\[[0-9;?]*[ -/]*[@-~]', '', 'g') AS plain,
+printf('%.2f', value) || '%' AS share, format('{:,}', event_id * 1000) AS grouped, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS at FROM events"""
+)
+def formatted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terminal colours stripped, shares, grouped numbers and times as they are shown."""
+    coloured = F.concat(F.lit("\x1b[32m"), F.col("event_id").cast("string"), F.lit(" passed\x1b[0m"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", X.strip_ansi(coloured).alias("plain"), X.percent(F.col("value") / 100, 2).alias("share"), X.thousands(F.col("event_id") * 1000).alias("grouped"), X.iso_time(F.col("ts")).alias("at")
+    )
