@@ -17,22 +17,31 @@ JAPANESE = ("むりだ！　つぎの文。", "「行くぞ！」と言った。
 
 
 def strip_wrapper(raw: DataFrame) -> DataFrame:
-    """raw -> body: what stands strictly between the START and END marker lines; without both, in order, an error."""
+    """raw and other columns -> these and body: what stands strictly between the START and END marker lines; without both,
+    in order, an error."""
     body = F.regexp_extract("raw", r"(?ms)^\*\*\* START[^\n]*\n(.*?)^\*\*\* END", 1)
     bad = ~F.col("raw").rlike(r"(?ms)^\*\*\* START[^\n]*\n.*?^\*\*\* END")
-    return raw.select(F.when(bad, F.raise_error(F.lit("no START and END markers in order"))).otherwise(body).alias("body"))
+    return raw.select(*[c for c in raw.columns if c != "raw"], F.when(bad, F.raise_error(F.lit("no START and END markers in order"))).otherwise(body).alias("body"))
 
 
-def split_chapters(body: DataFrame, heading: str = r"^(I|II|III)\.?$") -> DataFrame:
-    """body -> chapter, heading, text: lines that are a heading alone begin a chapter."""
-    lines = body.select(F.posexplode(F.split("body", "\n")).alias("line", "text"))
-    order = W.partitionBy(F.lit(0)).orderBy("line")
-    marked = lines.withColumn("_h", F.regexp_extract(F.trim("text"), heading, 1)).withColumn("chapter", F.sum((F.col("_h") != "").cast("int")).over(order))
-    return (
-        marked.where("chapter > 0")
-        .groupBy("chapter")
-        .agg(F.max("_h").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_h") == "", F.struct("line", "text")))), lambda x: x["text"]), "\n").alias("text"))
-    )
+def split_chapters(books: DataFrame, headings: tuple[str, ...] = ("I", "II", "III")) -> DataFrame:
+    """book, body -> book, chapter (from 1), heading, text: lines that are a heading alone (a stop may follow) begin a chapter.
+
+    A book has all headings, each once and in their order; else it is an error. What stands before the first is left out.
+    A book is split in the row that it is, so books never meet.
+    """
+    lines = F.split("body", "\n")
+    named = F.transform(lines, lambda x: F.regexp_extract(F.trim(x), "^(" + "|".join(headings) + r")\.?$", 1))
+    marks = F.filter(F.transform(named, lambda h, i: F.struct(h.alias("heading"), i.alias("at"))), lambda x: x["heading"] != "")
+    found = books.select("book", lines.alias("lines"), marks.alias("marks"))
+    names = F.transform("marks", lambda x: x["heading"])
+    wanted = F.array(*map(F.lit, headings))
+    problem = F.concat(F.lit("the headings of a book are "), F.array_join(names, ","), F.lit(", not " + ",".join(headings)))
+    checked = found.withColumn("marks", F.when(names == wanted, F.col("marks")).otherwise(F.raise_error(problem)))
+    begins = F.transform("marks", lambda x: x["at"])
+    ends = F.concat(F.slice(begins, F.lit(2), F.lit(len(headings))), F.array(F.size("lines")))
+    parts = F.zip_with("marks", ends, lambda m, e: F.struct(m["heading"].alias("heading"), F.array_join(F.slice("lines", m["at"] + 2, F.greatest(e - m["at"] - 1, F.lit(0))), "\n").alias("text")))
+    return checked.select("book", F.posexplode(parts).alias("_k", "_c")).select("book", (F.col("_k") + 1).cast("long").alias("chapter"), "_c.heading", "_c.text")
 
 
 @query(
@@ -43,20 +52,22 @@ def strip_wrapper_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_wrapper(spark.createDataFrame([(BOOK,)], "raw string"))
 
 
+# Two books, so that a chapter of one never takes lines of the other.
+BOOKS = {1: BOOK, 2: BOOK.replace("part", "piece").replace("II\n", "II.\n").replace("front", "I.\nfront")}
 _CHAPTERS_SQL = (
-    "WITH b AS (SELECT regexp_extract(replace(raw, '~', chr(10)), '(?ms)^\\*\\*\\* START[^\\n]*\\n(.*?)^\\*\\*\\* END', 1) AS body FROM "
-    + _BOOK_SQL
-    + r"""),
-l AS (SELECT unnest(string_split(body, chr(10))) AS text, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM b),
+    "WITH r(book, raw) AS (VALUES "
+    + ", ".join(f"({k}, '{v.replace(chr(10), '~')}')" for k, v in BOOKS.items())
+    + r"""), b AS (SELECT book, regexp_extract(replace(raw, '~', chr(10)), '(?ms)^\*\*\* START[^\n]*\n(.*?)^\*\*\* END', 1) AS body FROM r),
+l AS (SELECT book, unnest(string_split(body, chr(10))) AS text, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM b),
 m AS (SELECT *, regexp_extract(trim(text), '^(I|II|III)\.?$', 1) AS h FROM l),
-c AS (SELECT *, sum(CASE WHEN h <> '' THEN 1 ELSE 0 END) OVER (ORDER BY line) AS chapter FROM m)
-SELECT CAST(chapter AS BIGINT) AS chapter, max(h) AS heading, string_agg(text, chr(10) ORDER BY line) FILTER (WHERE h = '') AS text FROM c WHERE chapter > 0 GROUP BY chapter"""
+c AS (SELECT *, sum(CASE WHEN h <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY line) AS chapter FROM m)
+SELECT book, CAST(chapter AS BIGINT) AS chapter, max(h) AS heading, string_agg(text, chr(10) ORDER BY line) FILTER (WHERE h = '') AS text FROM c WHERE chapter > 0 GROUP BY book, chapter"""
 )
 
 
 @query(_CHAPTERS_SQL)
 def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_chapters(strip_wrapper(spark.createDataFrame([(BOOK,)], "raw string")))
+    return split_chapters(strip_wrapper(spark.createDataFrame(list(BOOKS.items()), "book int, raw string")))
 
 
 @query(
