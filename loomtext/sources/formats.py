@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import struct
 
 import numpy as np
@@ -25,17 +26,25 @@ def read_charset(spark: SparkSession, path: str, charset: str = "shift_jis") ->
 
 
 def parse_safetensors(content: bytes) -> list[tuple[str, str, list[int], bytes]]:
-    """(name, dtype, shape, bytes) of each tensor: a 64-bit header length, a JSON header, then the tensors' bytes."""
-    (size,) = struct.unpack_from("<Q", content)
-    header = json.loads(content[8 : 8 + size])
-    found = []
-    for name, about in header.items():
-        if name == "__metadata__":
-            continue
-        if about["dtype"] not in _DTYPES:
-            raise ValueError(f"{name} has the unknown type {about['dtype']}")
-        first, last = about["data_offsets"]
-        found.append((name, about["dtype"], list(about["shape"]), content[8 + size + first : 8 + size + last]))
+    """(name, dtype, shape, bytes) of each tensor of a safetensors file, in the order of their bytes.
+
+    The layout: a little-endian 64-bit length, a JSON object of that length that says each tensor's type, shape and place
+    (counted from behind the object; "__metadata__" is a note), and the tensors' bytes, which leave no gap. A file that
+    departs from it is an error, as is one without tensors.
+    """
+    view = memoryview(content)
+    start = 8 + int.from_bytes(view[:8], "little")
+    if len(view) < 8 or start > len(view):
+        raise ValueError(f"the header ends at byte {start} of {len(view)}")
+    tensors = sorted((spec["data_offsets"], name, spec["dtype"], spec["shape"]) for name, spec in json.loads(bytes(view[8:start])).items() if name != "__metadata__")
+    end, found = 0, []
+    for (begin, stop), name, dtype, shape in tensors:
+        if dtype not in _DTYPES:
+            raise ValueError(f"{name} has the unknown type {dtype}")
+        if begin != end or stop - begin != math.prod(shape) * np.dtype(_DTYPES[dtype]).itemsize or start + stop > len(view):
+            raise ValueError(f"{name} is {shape} of {dtype}, but lies at {begin} to {stop}")
+        end = stop
+        found.append((name, dtype, list(shape), bytes(view[start + begin : start + stop])))
     if not found:
         raise ValueError("no tensors")
     return found

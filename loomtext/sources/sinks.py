@@ -24,8 +24,12 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_csv(frames: list[DataFrame], path: str) -> None:
-    """CSV with a header of all frames' columns; nulls are empty."""
-    union_by_name(frames).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+    """CSV with a header of all frames' columns; nulls are empty. Each file begins with the mark by which spreadsheets
+    know UTF-8; quotes inside a field are doubled."""
+    whole = union_by_name(frames)
+    # The header's first name carries the mark, so the files are written by Spark alone.
+    marked = whole.toDF("\ufeff" + whole.columns[0], *whole.columns[1:])
+    marked.write.mode("overwrite").option("header", True).option("nullValue", "").option("escape", '"').option("quoteAll", False).csv(path)
 
 
 def bundle(df: DataFrame, keys: list[str], name: str) -> DataFrame:
