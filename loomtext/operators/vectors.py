@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,53 +13,62 @@ from loomtext.functions import vectors as V
 from loomtext.plans.registry import query
 from loomtext.sources.tables import table
 
-#: Queries that one pass over the vectors answers.
-QUERY_BLOCK = 1_000
+#: Vectors of a block of queries, and of a chunk of what they are compared with; a task holds one of each.
+QUERY_BLOCK = 512
+CHUNK = 4_096
 _E = "_e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 _COS = "list_cosine_similarity(a.v, b.v)"
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def blocks_of(vectors: DataFrame, size: int, out: str) -> DataFrame:
+    """One row for about `size` vectors, dealt by a hash of vec_id: an array of their columns."""
+    blocks = max(1, -(-vectors.count() // size))
+    return vectors.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_b")).agg(F.collect_list(F.struct(*vectors.columns)).alias(out)).drop("_b")
+
+
+def _matrix(items) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending order of vec_id of an Arrow array of structs, and its vectors in that order."""
+    ids = items.field("vec_id").to_numpy(zero_copy_only=False)
+    order = np.argsort(ids, kind="stable")
+    return order, np.array(items.field("embedding").to_pylist(), np.float64)[order]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, chunk: int = CHUNK) -> DataFrame:
     """The k nearest vectors of each label to each query: query_id, label, vec_id, score (6 digits), rank.
 
-    Queries come block by block; each pass sends one block to the tasks, which keep the best k of their partition, so
-    that k rows for each query, label and partition are shuffled. Equal scores go to the smaller vec_id.
+    Blocks of queries meet chunks of vectors, one pair in a row; a task multiplies the two and keeps the best k of the
+    chunk for each query and label, so that k rows for each of these are shuffled. Nothing goes through the driver. Equal
+    scores go to the smaller vec_id; a vector of length zero scores 0.
     """
-    rows = queries.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()
-    parts: list[DataFrame] = []
-
-    def one_pass(ids: np.ndarray, q: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = pd.DataFrame({"query_id": [], "label": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "label": "int32", "vec_id": "int64"})
-            for b in batches:
-                x = np.array(list(b["embedding"]), np.float64)
-                norms = np.linalg.norm(x, axis=1)[None, :] * np.linalg.norm(q, axis=1)[:, None]
-                score = np.round(np.divide(q @ x.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
-                n = len(b)
-                some = pd.DataFrame(
-                    {"query_id": np.repeat(ids, n), "label": np.tile(b["label"], len(ids)), "vec_id": np.tile(b["vec_id"], len(ids)), "score": score.ravel()}
-                )
-                best = pd.concat([best, some]).sort_values(["score", "vec_id"], ascending=[False, True]).groupby(["query_id", "label"], sort=False).head(k)
-            yield best
-
-        return vectors.select("vec_id", "label", "embedding").mapInPandas(run, "query_id long, label int, vec_id long, score double")
-
-    def add(part: list) -> None:
-        parts.append(one_pass(np.array([r["vec_id"] for r in part]), np.array([r["embedding"] for r in part], np.float64)))
-
-    part: list = []
-    for r in rows:
-        part.append(r)
-        if len(part) == block:
-            add(part)
-            part = []
-    if part:
-        add(part)
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, label int, vec_id long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    left = blocks_of(vectors.select("vec_id", "label", "embedding"), chunk, "v")
+    right = blocks_of(queries.select("vec_id", "embedding"), block, "q")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(len(batch)):
+                v, q = batch.column("v").slice(i, 1).flatten(), batch.column("q").slice(i, 1).flatten()
+                (at, x), (of, y) = _matrix(v), _matrix(q)
+                ids, labels = v.field("vec_id").to_numpy(zero_copy_only=False)[at], v.field("label").to_numpy(zero_copy_only=False)[at]
+                asked = q.field("vec_id").to_numpy(zero_copy_only=False)[of]
+                norms = np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                score = np.round(np.divide(y @ x.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
+                for label in np.unique(labels):
+                    own = np.flatnonzero(labels == label)
+                    best = np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]
+                    n = best.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(asked, n), pa.int64()),
+                            pa.array(np.full(len(asked) * n, label), pa.int32()),
+                            pa.array(ids[own][best].ravel(), pa.int64()),
+                            pa.array(np.take_along_axis(score[:, own], best, axis=1).ravel(), pa.float64()),
+                        ],
+                        names=["query_id", "label", "vec_id", "score"],
+                    )
+
+    found = left.crossJoin(right).mapInArrow(run, "query_id long, label int, vec_id long, score double")
     order = W.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
