@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomtext.operators.align import LINKS_SQL, links_by_method
 from loomtext.plans.registry import query
+from loomtext.sources.scratch import cut
 
 #: Blocks that the exact test enumerates the signs of, at most.
 MAX_BLOCKS = 20
@@ -47,32 +48,111 @@ def perm_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact(spark.createDataFrame(_FIXTURE, "block int, diff double, size int"))
 
 
+#: Signs that one hash gives.
+_BITS = 128
+
+
 def monte_carlo(blocks: DataFrame, iterations: int = 10_000, seed: int = 0) -> DataFrame:
-    """observed, p_value, iterations, blocks: signs are drawn for each block; p counts the observed one too."""
+    """observed, p_value, iterations, blocks of blocks (block, diff, size): signs are drawn for each block; p counts the
+    observed one too. No blocks give no row.
+
+    The signs of a block are the bits of hashes of seed, block and iteration, so that each task sums its blocks' signed
+    differences by itself, for all iterations, and nothing but those sums is brought together.
+    """
 
     def run(batches):
+        import hashlib
+
         import pandas as pd
 
-        b = pd.concat(list(batches))
-        if len(b):
-            b = b.sort_values("block")
-            diff, total = b["diff"].to_numpy(), float(b["size"].sum())
-            rng = np.random.default_rng(seed)
-            observed, extreme = diff.sum() / total, 0
-            for k in range(0, iterations, 1000):
-                signs = rng.integers(0, 2, (min(1000, iterations - k), len(diff))) * 2 - 1
-                extreme += int((np.abs(signs @ diff / total) >= abs(observed) - 1e-12).sum())
-            yield pd.DataFrame({"observed": [observed], "p_value": [(extreme + 1) / (iterations + 1)], "iterations": [iterations], "blocks": [len(b)]})
+        total = np.zeros(-(-iterations // _BITS) * _BITS)
+        for b in batches:
+            for block, diff in zip(b["block"], b["diff"], strict=True):
+                raw = b"".join(hashlib.md5(f"{seed}:{block}:{k}".encode(), usedforsecurity=False).digest() for k in range(len(total) // _BITS))
+                total += diff * (2.0 * np.unpackbits(np.frombuffer(raw, np.uint8)) - 1)
+        yield pd.DataFrame({"iteration": np.arange(iterations), "x": total[:iterations]})
+
+    rows = blocks.select(F.col("block").cast("string").alias("block"), F.col("diff").cast("double").alias("diff"), F.col("size").cast("long").alias("size"))
+    sums = rows.select("block", "diff").mapInPandas(run, "iteration int, x double").groupBy("iteration").agg(F.sum("x").alias("x"))
+    whole = rows.agg(F.sum("diff").alias("_diff"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("blocks")).where("blocks > 0")
+    extreme = F.abs(F.col("x") / F.col("_size")) >= F.abs(F.col("_diff") / F.col("_size")) - 1e-12
+    found = sums.join(F.broadcast(whole)).groupBy("_diff", "_size", "blocks").agg(F.count_if(extreme).alias("_n"))
+    return found.select((F.col("_diff") / F.col("_size")).alias("observed"), ((F.col("_n") + 1) / F.lit(iterations + 1.0)).alias("p_value"), F.lit(iterations).alias("iterations"), "blocks")
+
+
+def p_display(p: Column, iterations: Column | None = None) -> Column:
+    """An exact p by six digits; a drawn one by five, and never as 0: what can't be resolved is said to be below that."""
+    if iterations is None:
+        return F.format_string("%.6f", p)
+    least = 1.0 / (iterations + 1)
+    return F.when(p <= least, F.concat(F.lit("< "), F.format_string("%.5f", least))).otherwise(F.format_string("%.5f", p))
+
+
+def monte_carlo_sql(blocks: str, iterations: int = 10_000, seed: int = 0) -> str:
+    """DuckDB: a SELECT of what monte_carlo() gives for a table of blocks (block as text, diff, size)."""
+    return (
+        f"SELECT d / z AS observed, (count(*) FILTER (WHERE abs(x / z) >= abs(d / z) - 1e-12) + 1) / {iterations + 1}.0::DOUBLE AS p_value, CAST({iterations} AS INT) AS iterations, blocks FROM "
+        f"(SELECT it, sum(CASE WHEN ((strpos('0123456789abcdef', substr(h, CAST(k // 4 + 1 AS INT), 1)) - 1) >> CAST(3 - k % 4 AS INT)) & 1 = 1 THEN diff ELSE -diff END) AS x FROM "
+        f"(SELECT diff, md5(concat('{seed}:', block, ':', c)) AS h, c, k, c * {_BITS} + k AS it FROM {blocks}, (SELECT unnest(range({-(-iterations // _BITS)})) AS c), (SELECT unnest(range({_BITS})) AS k)) WHERE it < {iterations} GROUP BY it), "
+        f"(SELECT sum(diff) AS d, sum(size) AS z, count(*) AS blocks FROM {blocks}) GROUP BY d, z, blocks"
+    )
+
 
-    # One row for each block of a test; the test needs them together.
-    return blocks.select("block", "diff", "size").repartition(1).mapInPandas(run, "observed double, p_value double, iterations int, blocks int")
+_OUTCOMES_SQL = (
+    "WITH RECURSIVE "
+    + LINKS_SQL
+    + """, o AS (SELECT method, pair_id, ps, i, min(CASE WHEN ps = pd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS o FROM links GROUP BY ALL),
+u AS (SELECT a.pair_id, a.ps, a.o - b.o AS diff FROM o a JOIN o b ON a.method = 'length' AND b.method = 'diagonal' AND a.pair_id = b.pair_id AND a.i = b.i)"""
+)
 
 
-@query()
+@query(_OUTCOMES_SQL + ", b AS (SELECT CAST(pair_id AS VARCHAR) AS block, sum(diff) AS diff, count(*) AS size FROM u GROUP BY pair_id) " + monte_carlo_sql("b"))
 def perm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monte_carlo(outcome_blocks(spark, sf_dir))
 
 
+#: The level below which a difference counts.
+LEVEL = 0.01
+
+
+@query(
+    _OUTCOMES_SQL
+    + ", b AS (SELECT lpad(CAST(pair_id AS VARCHAR), 20, '0') || '/' || lpad(CAST(ps AS VARCHAR), 20, '0') AS block, sum(diff) AS diff, count(*) AS size FROM u GROUP BY pair_id, ps), m AS ("
+    + monte_carlo_sql("b")
+    + ") SELECT observed, p_value, CASE WHEN p_value <= 1.0 / 10001 THEN '< 0.00010' ELSE printf('%.5f', p_value) END AS p, blocks, observed > 0 AND p_value < 0.01 AS better FROM m"
+)
+def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the length model, in attention's place, agrees better than the diagonal on the sources that both link."""
+    units = agreement_units(cut(links_by_method(spark, sf_dir)))
+    found = monte_carlo(_in_blocks(units, F.col("ps")))
+    return found.select("observed", "p_value", p_display(F.col("p_value"), F.col("iterations")).alias("p"), "blocks", ((F.col("observed") > 0) & (F.col("p_value") < LEVEL)).alias("better"))
+
+
+def _in_blocks(units: DataFrame, inside: Column) -> DataFrame:
+    """block (pair and part of it), diff, size of units (pair_id, diff)."""
+    return units.groupBy(F.format_string("%020d/%020d", F.col("pair_id").cast("long"), inside.cast("long")).alias("block")).agg(F.sum("diff").alias("diff"), F.count("*").alias("size"))
+
+
+@query(
+    "WITH RECURSIVE "
+    + LINKS_SQL
+    + """, d AS (SELECT method, pair_id, i, j, ps, pd FROM links WHERE method = 'length'), r AS (SELECT pair_id, j, row_number() OVER (PARTITION BY pair_id ORDER BY j) AS k, row_number() OVER (PARTITION BY pair_id ORDER BY md5(concat('20260906:', pair_id, ':', j))) AS s FROM (SELECT DISTINCT pair_id, j FROM d)),
+t AS (SELECT a.pair_id, a.j, CAST(floor(b.j / 2) AS BIGINT) AS pd FROM r a JOIN r b ON a.pair_id = b.pair_id AND a.k = b.s)
+SELECT count(*) AS links, avg(CASE WHEN d.ps = d.pd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate, avg(CASE WHEN d.ps = t.pd THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS shuffled FROM d JOIN t ON t.pair_id = d.pair_id AND t.j = d.j"""
+)
+def shuffle_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the length model's links, and what is left of it when each pair's targets are dealt anew by a hash."""
+    links = cut(links_by_method(spark, sf_dir).where("method = 'length'"))
+    targets = links.select("pair_id", "j").distinct()
+    of = W.partitionBy("pair_id")
+    dealt = F.md5(F.concat(F.lit("20260906:"), F.col("pair_id").cast("string"), F.lit(":"), F.col("j").cast("string")))
+    ranked = targets.withColumn("k", F.row_number().over(of.orderBy("j"))).withColumn("s", F.row_number().over(of.orderBy(dealt)))
+    other = ranked.select(F.col("pair_id").alias("_p"), F.col("s").alias("_s"), F.floor(F.col("j") / 2).cast("long").alias("pd_new"))
+    moved = ranked.join(other, (F.col("pair_id") == F.col("_p")) & (F.col("k") == F.col("_s"))).select(F.col("_p"), F.col("j").alias("_j"), "pd_new")
+    both = links.join(moved, (F.col("pair_id") == F.col("_p")) & (F.col("j") == F.col("_j")))
+    return both.agg(F.count(F.lit(1)).alias("links"), F.avg((F.col("ps") == F.col("pd")).cast("double")).alias("rate"), F.avg((F.col("ps") == F.col("pd_new")).cast("double")).alias("shuffled"))
+
+
 def agreement_units(links: DataFrame) -> DataFrame:
     """pair_id, ps, diff of each source that both methods link: length model minus diagonal, 1 where all targets agree."""
     per = links.groupBy("pair_id", "ps", "i").agg(
@@ -97,16 +177,27 @@ def suite(links: DataFrame) -> DataFrame:
     tests = [("agreement", 1, agreement_units(links), F.col("ps"))] + [("refinement", size, refinement, F.floor(F.col("k") / size)) for size in (1, 5, 10)]
     out = None
     for name, size, units, inside in tests:
-        blocks = units.groupBy(F.format_string("%020d/%020d", F.col("pair_id").cast("long"), inside.cast("long")).alias("block")).agg(F.sum("diff").alias("diff"), F.count("*").alias("size"))
+        blocks = _in_blocks(units, inside)
         one = monte_carlo(blocks).select(F.lit(name).alias("test"), F.lit(size).alias("block_size"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query()
+_REFINED_SQL = """, v AS (SELECT pair_id, pd, count(DISTINCT CASE WHEN method = 'length' THEN ps END) AS a, count(DISTINCT CASE WHEN method = 'diagonal' THEN ps END) AS b FROM links GROUP BY ALL),
+w AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY pd) - 1 AS k, (CASE WHEN a <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) - (CASE WHEN b <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS diff FROM v WHERE a > 0 AND b > 0),
+x AS (SELECT 'agreement' AS test, 1 AS block_size, pair_id, ps AS part, diff FROM u UNION ALL SELECT 'refinement', z, pair_id, CAST(floor(k / z) AS BIGINT), diff FROM w, (VALUES (1), (5), (10)) s(z)),
+y AS (SELECT test, block_size, lpad(CAST(pair_id AS VARCHAR), 20, '0') || '/' || lpad(CAST(part AS VARCHAR), 20, '0') AS block, sum(diff) AS diff, count(*) AS size FROM x GROUP BY ALL)"""
+
+
+@query(
+    _OUTCOMES_SQL
+    + _REFINED_SQL
+    + " "
+    + " UNION ALL ".join(f"SELECT '{t}' AS test, CAST({z} AS INT) AS block_size, * FROM ({monte_carlo_sql(f'(SELECT * FROM y WHERE test = {t!r} AND block_size = {z})')})" for t, z in (("agreement", 1), ("refinement", 1), ("refinement", 5), ("refinement", 10)))
+)
 def significance_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement and refinement of the length model against the diagonal; tests/test_significance.py holds the blocks."""
-    return suite(links_by_method(spark, sf_dir))
+    return suite(cut(links_by_method(spark, sf_dir)))
 
 
 @query(
