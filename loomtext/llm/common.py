@@ -2,79 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+# The operators take these from here.
+from loomtext.sources.scratch import Scratch, cut  # noqa: F401
+
 # A word is a run of anything but the six ASCII blanks; bytes.split() splits at just those.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; on local cores alone, set one where none is named.
-
-    What is written there goes when the driver's JVM ends.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-        path = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
-
-
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Have the shuffle files of what runs in here removed when it ends.
-
-    Behind a checkpoint or a written table nothing reads them again, but Spark keeps them until the driver's JVM happens to
-    collect the plans that wrote them, by when the disks may be full.
-    """
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    with tidy(df.sparkSession):
-        return df.checkpoint()
-
-
-class Scratch:
-    """Tables that an operator writes to the shared checkpoint folder for itself, columnar and compressed."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        ensure_checkpoint_dir(spark)
-        self.spark = spark
-        self.base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        with tidy(self.spark):
-            df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
-
-    def drop(self, name: str = "") -> None:
-        """Remove a table, or all."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
