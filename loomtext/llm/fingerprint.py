@@ -9,6 +9,9 @@ generated code.
 
 A term is the 64-bit hash of its word, so distinct words stay distinct. Two more hashes of it and k give the five uniforms
 of a sample: 25 bits for each of those that r and c take, 28 for b.
+
+A text and its edited text share most terms, with equal weights. Such a term is drawn for once and counts for both: terms
+fall into those of the text, those of the edited text and those of both, and a signature is the lesser of two minima.
 """
 
 from __future__ import annotations
@@ -24,7 +27,6 @@ SAMPLES = 64
 SAMPLE_BYTES = 2
 BLANKS = " \t\n\x0b\x0c\r"
 SMALLEST = -(2**63)
-_META = 8  # numbers that a document hands on besides its terms
 
 
 def _uniform(bits: Column, n: int) -> Column:
@@ -62,35 +64,37 @@ def neighbours(keys: DataFrame) -> DataFrame:
     ranked = placed.join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn("_r", F.col("_before") + F.col("_i"))
     ahead = ranked.select(F.col("_d").alias("_nd"), F.col("_h").alias("_nh"), F.pmod(F.col("_r") - 1, F.col("_all")).alias("_ra"))
     behind = ranked.select(F.col("_d").alias("_pd"), F.col("_h").alias("_ph"), F.col("n").alias("_pn"), F.pmod(F.col("_r") + 1, F.col("_all")).alias("_rb"))
-    return ranked.join(ahead, F.col("_r") == F.col("_ra")).join(behind, F.col("_r") == F.col("_rb")).select("_d", "_h", "copies", "_nd", "_nh", "_pd", "_ph", "_pn")
+    return ranked.join(ahead, F.col("_r") == F.col("_ra")).join(behind, F.col("_r") == F.col("_rb")).select("_d", "_h", "n", "copies", "_nd", "_nh", "_pd", "_ph", "_pn")
 
 
-def signatures(pairs: DataFrame, key: list[str], sides: list[str], meta: Column, samples: int) -> DataFrame:
-    """pairs: key, and text columns `sides`; meta: blank-separated place:number. -> key, signature of each side, m0, m1...
+def signatures(pairs: DataFrame, key: list[str], one: str, other: str, samples: int) -> DataFrame:
+    """key, signature_one and signature_other of two text columns of pairs; null for a text without words.
 
-    pairs must be partitioned by key: then none of the aggregations moves rows. A text without words has a null signature.
+    pairs must be partitioned by key: then none of the aggregations moves rows.
     """
-    last = len(sides)
-    texts = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate(sides)], F.struct(F.lit(last).alias("side"), meta.alias("text")))
+    texts = F.array(F.struct(F.lit(True).alias("own"), F.col(one).alias("text")), F.struct(F.lit(False).alias("own"), F.col(other).alias("text")))
     words = (
         pairs.select(*key, F.inline(texts))
-        .select(*key, "side", F.explode(F.split(F.btrim("text", F.lit(BLANKS)), r"[\x20\x09-\x0D]+")).alias("word"))
+        .select(*key, "own", F.explode(F.split(F.btrim("text", F.lit(BLANKS)), r"[\x20\x09-\x0D]+")).alias("word"))
         .where("word <> ''")
     )
-    is_meta = F.col("side") == last
-    place = F.when(is_meta, F.substring("word", 1, 1).cast("long")).otherwise(F.xxhash64("word"))
-    value = F.when(is_meta, F.expr("substring(word, 3)").cast("long")).otherwise(F.lit(1).cast("long"))
-    weights = words.select(*key, "side", place.alias("place"), value.alias("value")).groupBy(*key, "side", "place").agg(F.sum("value").alias("weight"))
-    is_meta = F.col("side") == last
-    weights = weights.withColumn("log_weight", F.when(~is_meta, F.log(F.col("weight").cast("double"))))
-    minima = [F.min(sample_value(F.col("place"), F.col("log_weight"), k)).alias(f"a{k}") for k in range(samples)]
-    metas = [F.max(F.when(is_meta & (F.col("place") == i), F.col("weight"))).alias(f"m{i}") for i in range(_META)]
-    sampled = weights.groupBy(*key, "side").agg(*minima, *metas)
-    parts = [F.substring(F.unhex(F.lpad(F.hex(F.xxhash64(f"a{k}")), 16, "0")), 1, SAMPLE_BYTES) for k in range(samples)]
-    signed = sampled.select(*key, "side", F.when(F.col("a0").isNotNull(), F.concat(*parts)).alias("_s"), *[f"m{i}" for i in range(_META)])
-    return signed.groupBy(*key).agg(
-        *[F.max(F.when(F.col("side") == i, F.col("_s"))).alias(f"signature_{c}") for i, c in enumerate(sides)], *[F.max(f"m{i}").alias(f"m{i}") for i in range(_META)]
+    terms = words.select(*key, F.xxhash64("word").alias("term"), F.col("own").cast("long").alias("own")).groupBy(*key, "term").agg(F.sum("own").alias("w1"), F.sum(1 - F.col("own")).alias("w2"))
+    # 0: in both, as often; 1: in one; 2: in the other. A term that is in both at different weights is drawn for twice.
+    kinds = F.when(F.col("w1") == F.col("w2"), F.array(F.struct(F.lit(0).alias("kind"), F.col("w1").alias("weight")))).otherwise(
+        F.array(F.struct(F.lit(1).alias("kind"), F.col("w1").alias("weight")), F.struct(F.lit(2).alias("kind"), F.col("w2").alias("weight")))
     )
+    weighted = terms.select(*key, "term", F.inline(kinds)).where("weight > 0").select(*key, "kind", "term", F.log(F.col("weight").cast("double")).alias("log_weight"))
+    minima = weighted.groupBy(*key, "kind").agg(*[F.min(sample_value(F.col("term"), F.col("log_weight"), k)).alias(f"a{k}") for k in range(samples)])
+    # Three rows at most for each text; as text, as bytes of a hash of the least value.
+    values = minima.select(*key, "kind", F.array(*[f"a{k}" for k in range(samples)]).alias("_a"))
+    of = values.groupBy(*key).agg(*[F.max(F.when(F.col("kind") == i, F.col("_a"))).alias(f"_a{i}") for i in range(3)])
+    return of.select(*key, *[_signature(F.col("_a0"), F.col(f"_a{i}"), samples).alias(f"signature_{c}") for i, c in ((1, one), (2, other))])
+
+
+def _signature(shared: Column, own: Column, samples: int) -> Column:
+    least = [F.least(F.get(shared, F.lit(k)), F.get(own, F.lit(k))) for k in range(samples)]
+    parts = [F.substring(F.unhex(F.lpad(F.hex(F.xxhash64(x)), 16, "0")), 1, SAMPLE_BYTES) for x in least]
+    return F.when(shared.isNotNull() | own.isNotNull(), F.concat(*parts))
 
 
 def likeness(a: Column, b: Column, samples: int) -> Column:
@@ -114,29 +118,32 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     once = keyed.withColumn("_n", F.row_number().over(W.partitionBy("_d", "_h").orderBy("_h"))).where("_n = 1").drop("_n")
     near = cut(neighbours(keyed.select("_d", "_h", F.char_length("text").alias("n"))))
     # Whole texts are shuffled once, by (_d, _h), which both joins read; of the next text only what its predecessor takes.
-    own = once.join(near.select(F.col("_d").alias("_od"), F.col("_h").alias("_oh"), "copies", "_nd", "_nh"), (F.col("_d") == F.col("_od")) & (F.col("_h") == F.col("_oh")))
+    own = once
     heads = once.join(near.select(F.col("_d").alias("_od"), F.col("_h").alias("_oh"), "_pd", "_ph", "_pn"), (F.col("_d") == F.col("_od")) & (F.col("_h") == F.col("_oh")))
     heads = heads.select("_pd", "_ph", F.substring("text", F.lit(1), F.floor(F.col("_pn") / 4).cast("int")).alias("head"))
     both = own.join(heads.hint("merge"), (F.col("_d") == F.col("_pd")) & (F.col("_h") == F.col("_ph")))
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), "head")
-    pairs = both.select("_nd", "_nh", "_d", "_h", "copies", "text", n.alias("n_chars"), edited.alias("edited"))
-    numbers = [F.col("_nd"), F.col("_nh"), F.col("copies"), F.col("n_chars")]
-    digest = F.sha2("edited", 256)
-    # The digest travels beside the numbers as four of 64 bits.
-    meta = F.concat_ws(" ", *[F.concat(F.lit(f"{i}:"), x.cast("string")) for i, x in enumerate(numbers)], *[F.concat(F.lit(f"{i + len(numbers)}:"), F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10)) for i in range(4)])
-    signed = cut(signatures(pairs, ["_d", "_h"], ["text", "edited"], meta, samples))
+    pairs = both.select("_d", "_h", "text", edited.alias("edited"))
+    # The digests read the shuffled texts once more; both sides are partitioned by (_d, _h) already.
+    digests = pairs.select(F.col("_d").alias("_ed"), F.col("_h").alias("_eh"), F.sha2("edited", 256).alias("edited_sha256"))
+    signed = signatures(pairs, ["_d", "_h"], "text", "edited", samples)
+    found = digests.join(signed, (F.col("_d") == F.col("_ed")) & (F.col("_h") == F.col("_eh")), "left").select(
+        F.col("_ed").alias("_d"), F.col("_eh").alias("_h"), "edited_sha256", "signature_text", "signature_edited"
+    )
+    signed = cut(found)
+    numbers = near.select(F.col("_d").alias("_nrd"), F.col("_h").alias("_nrh"), F.col("n").alias("n_chars"), "copies", F.col("_nd").alias("_fnd"), F.col("_nh").alias("_fnh"))
     following = signed.select(F.col("_d").alias("_fd"), F.col("_h").alias("_fh"), F.col("signature_text").alias("_next"))
-    full = signed.join(following, (F.col("m0") == F.col("_fd")) & (F.col("m1") == F.col("_fh")))
+    full = signed.join(numbers, (F.col("_d") == F.col("_nrd")) & (F.col("_h") == F.col("_nrh"))).join(following, (F.col("_fnd") == F.col("_fd")) & (F.col("_fnh") == F.col("_fh")))
     zeros = "00" * SAMPLE_BYTES * samples
     shown = lambda c: F.coalesce(F.lower(F.hex(c)), F.lit(zeros))
     return full.select(
         F.nullif("_d", F.lit(SMALLEST)).alias("doc_id"),
-        F.col("m3").alias("n_chars"),
-        F.concat(*[F.lower(F.lpad(F.hex(f"m{i}"), 16, "0")) for i in range(4, 8)]).alias("edited_sha256"),
+        F.col("n_chars").cast("long").alias("n_chars"),
+        "edited_sha256",
         shown("signature_text").alias("fingerprint"),
         shown("signature_edited").alias("edited_fingerprint"),
         likeness(F.col("signature_text"), F.col("signature_edited"), samples).alias("near_edited"),
         likeness(F.col("signature_text"), F.col("_next"), samples).alias("near_next"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "m2")).alias("_copy"),
+        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"),
     ).drop("_copy")
