@@ -53,10 +53,12 @@ def _duck_pattern(t: Term) -> str:
     return rf"(?:^|[^{_LETTER[1:-1]}]){t.term}" + (rf"(?:[^{_LETTER[1:-1]}]|$)" if t.whole else f"{_LETTER}*")
 
 
-_TERMS_SQL = "g(term, kind, pattern, forms) AS (VALUES " + ", ".join(f"('{t.term}', '{t.kind}', '{_duck_pattern(t)}', {list(t.forms)})" for t in GLOSSARY) + ")"
-# Signs around a whole word may serve two of them, so blanks are doubled before matches are counted.
-_COUNT_SQL = r"CAST(len(regexp_extract_all(regexp_replace(p.text, '([^\p{L}\p{M}\p{N}\p{Pc}])', '\1\1', 'g'), g.pattern)) AS BIGINT)"
-_REGISTRY_SQL = "WITH " + PARAGRAPHS_SQL + ", " + _TERMS_SQL + ", r AS (SELECT p.doc_id, p.par, g.term, " + _COUNT_SQL + " AS n FROM paragraphs p JOIN g ON regexp_matches(p.text, g.pattern))"
+_TERMS_SQL = "g(term, kind, whole, pattern, forms) AS (VALUES " + ", ".join(f"('{t.term}', '{t.kind}', {t.whole}, '{_duck_pattern(t)}', {list(t.forms)})" for t in GLOSSARY) + ")"
+# A paragraph's words are counted, each against all terms: the oracle splits where the query searches.
+_REGISTRY_SQL = (
+    "WITH " + PARAGRAPHS_SQL + ", " + _TERMS_SQL + ", _v AS (SELECT doc_id, par, unnest(regexp_extract_all(text, '" + _LETTER + "+')) AS w FROM paragraphs), "
+    "r AS (SELECT doc_id, par, term, count(*) AS n FROM _v JOIN g ON CASE WHEN whole THEN w = term ELSE starts_with(w, term) END GROUP BY ALL)"
+)
 _MISSING_SQL = "WITH " + SIDES_SQL + ", " + _TERMS_SQL + " SELECT p.pair_id, p.ord, g.term FROM " + PAIRED.format(sides="sides") + " p JOIN g ON regexp_matches(p.src, g.pattern) WHERE g.kind = '{kind}' AND NOT list_bool_or(list_transform(g.forms, lambda f: contains(p.dst, f)))"
 
 
@@ -84,7 +86,7 @@ def registry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry(paragraphs(spark, sf_dir)).groupBy("term").agg(F.sum("n").alias("hits"), F.min("doc_id").alias("first_doc"))
 
 
-@query("WITH " + PARAGRAPHS_SQL + ", " + _TERMS_SQL + " SELECT count(*) AS total, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM g WHERE regexp_matches(p.text, g.pattern))) AS hits FROM paragraphs p")
+@query(_REGISTRY_SQL + " SELECT (SELECT count(*) FROM paragraphs) AS total, (SELECT count(*) FROM (SELECT DISTINCT doc_id, par FROM r)) AS hits")
 def registry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     any_of = F.col("text").rlike("|".join(X.term_pattern(t.term, t.whole) for t in GLOSSARY))
     return paragraphs(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if(any_of).alias("hits"))

@@ -278,7 +278,7 @@ _FILE_SQL = (
     "WITH "
     + _PARSED
     + """,
-_s AS (SELECT *, coalesce(list_transform(string_split(v, '.'), lambda x: TRY_CAST(x AS INT)) >= [1, 2], false) AS strict FROM _e WHERE json_type(j, '$.project') = 'VARCHAR'),
+_s AS (SELECT *, regexp_full_match(coalesce(v, ''), '[0-9]+([.][0-9]+)*') AND list_transform(string_split(v, '.'), lambda x: TRY_CAST(x AS INT)) >= [1, 2] AS strict FROM _e WHERE json_type(j, '$.project') = 'VARCHAR'),
 _end AS (SELECT file, min(line) AS at FROM _e WHERE event = 'loop_end' GROUP BY file),
 _after AS (SELECT _e.file, _e.event, count(*) AS used FROM _e JOIN _end ON _end.file = _e.file AND _e.line > _end.at GROUP BY ALL),
 _budget AS (SELECT file, te AS event, count(*) AS n FROM _k WHERE te IS NOT NULL GROUP BY ALL)
