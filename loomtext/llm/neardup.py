@@ -288,7 +288,7 @@ def stray_links(follow: DataFrame, label: DataFrame, sets: DataFrame, percent: i
     return loaded.repartition("lead", "u", "v").sortWithinPartitions("lead", "u", "v").mapInArrow(run, "a long, b long")
 
 
-def _same_id_links(usable: DataFrame, classes: DataFrame) -> DataFrame:
+def same_id_links(usable: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) of a doc_id that several rows have, with different sets, to the representatives of those sets."""
     several = usable.groupBy("doc_id").agg(F.min("digest").alias("_lo"), F.max("digest").alias("_hi")).where("_lo < _hi").select(F.col("doc_id").alias("_id"))
     rows = usable.select("doc_id", "digest").join(several, F.col("doc_id") == F.col("_id"))
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = follow.select(F.col("lead").alias("_id")).union(follow.select("rep")).distinct()
     try:
         sets = scratch.write(with_sets(docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi"), width), "sets")
-        links = star_links(follow, sets, percent).union(_same_id_links(usable, classes))
+        links = star_links(follow, sets, percent).union(same_id_links(usable, classes))
         label = components(links)
         more = cut(stray_links(follow, label, sets, percent))
     finally:
