@@ -115,8 +115,3 @@ def test_tables_of_merged_scores():
     a, b = rng.normal(size=(3, 4)), rng.normal(size=(2, 4))
     u = lambda v: v / np.linalg.norm(v)
     assert align.vector_tables(a, b)[2, 1][0, 1] == pytest.approx(u(u(a[0]) + u(a[1])) @ u(b[1]))
-
-
-def test_a_path_that_no_bead_may_take_is_an_error():
-    with pytest.raises(ValueError, match="no path"):
-        align.cheapest_path(1, 1, {(1, 1): np.full((2, 2), np.inf)})
