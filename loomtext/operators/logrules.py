@@ -295,7 +295,8 @@ UNION ALL SELECT file, NULL, 'several loop_end', 'error' FROM _e WHERE event = '
 UNION ALL SELECT DISTINCT a.file, NULL, 'records behind loop_end', 'error' FROM _after a LEFT JOIN _budget b ON b.file = a.file AND b.event IS NOT DISTINCT FROM a.event WHERE a.used > coalesce(b.n, 0)
 UNION ALL SELECT e.file, NULL, 'failure_count is wrong', 'error' FROM _e e JOIN _end ON _end.file = e.file AND _end.at = e.line WHERE TRY_CAST(e.j ->> '$.data.failure_count' AS BIGINT) <> (SELECT count(*) FROM _e f WHERE f.file = e.file AND f.event = 'failure')"""
 )
-_GUARD_SQL = (
+#: DuckDB: records to be appended, with why they are refused, as _y.
+GUARD_CTES = (
     "WITH "
     + _PARSED
     + ","
@@ -314,8 +315,11 @@ _x AS (SELECT n.*, w.raw IS NOT NULL AS broken, f.project AS fp, f.n AS fn, f.en
   FROM _n n LEFT JOIN _w w ON w.raw = n.raw AND w.wf = n.file LEFT JOIN _first f ON f.file = n.file
   LEFT JOIN _e t ON t.file = n.file AND n.event = 'correction' AND t.line = TRY_CAST(n.j ->> '$.data.supersedes' AS BIGINT)),
 _y AS (SELECT *, CASE WHEN broken THEN 'record' WHEN event <> 'correction' AND fp <> j ->> '$.project' THEN 'project' WHEN event = 'correction' AND te IS NULL THEN 'target'
-  WHEN event = 'correction' AND te = 'loop_start' AND fn > 1 THEN 'loop_start' WHEN event <> 'correction' AND ended AND NOT used < slots THEN 'closed' END AS refused FROM _x)
-SELECT file, raw, refused, CASE WHEN refused IS NULL AND event = 'failure' THEN CASE WHEN j ->> '$.data.severity' = 'S1' AND coalesce(j ->> '$.data.harness_ref', '') = '' THEN 'S1 without harness_ref'
+  WHEN event = 'correction' AND te = 'loop_start' AND fn > 1 THEN 'loop_start' WHEN event <> 'correction' AND ended AND NOT used < slots THEN 'closed' END AS refused FROM _x)"""
+)
+_GUARD_SQL = (
+    GUARD_CTES
+    + """ SELECT file, raw, refused, CASE WHEN refused IS NULL AND event = 'failure' THEN CASE WHEN j ->> '$.data.severity' = 'S1' AND coalesce(j ->> '$.data.harness_ref', '') = '' THEN 'S1 without harness_ref'
   WHEN total = 2 THEN 'second' WHEN total > 2 AND coalesce(j ->> '$.data.harness_ref', '') = '' THEN 'again without harness_ref' END END AS warning FROM _y"""
 )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.operators import align, anchors, audit, eventlog, logrules, metrics, misc, ranks, relational, segment, stats, vectors  # noqa: F401
+from loomtext.operators import align, anchors, audit, eventlog, logfiles, logrules, metrics, misc, ranks, relational, segment, stats, vectors  # noqa: F401
 from loomtext.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
