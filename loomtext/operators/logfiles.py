@@ -9,7 +9,7 @@ from loomtext.operators.logrules import GUARD_CTES, append_guard
 from loomtext.plans.registry import query
 from loomtext.sources.applog import AppendLog
 from loomtext.sources.lines import named_by_folder, read_lines, write_lines
-from loomtext.sources.scratch import Scratch
+from loomtext.sources.scratch import Scratch, cut
 from loomtext.sources.tables import LOG_LINES_SQL, log_lines, new_log_lines
 
 
@@ -40,5 +40,5 @@ def log_guarded_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log behind an append of those new records that the guard takes."""
     log, old, new = AppendLog(spark, f"{Scratch(spark).base}/log"), log_lines(spark, sf_dir), new_log_lines(spark, sf_dir)
     version = log.append(old, 0, guard=False)
-    taken = append_guard(old, new).where("refused is null").select("file", "raw")
+    taken = cut(append_guard(log.lines(), cut(new)).where("refused is null").select("file", "raw"))
     return log.lines(log.append(taken, version, "raw"))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from loomtext.functions import text as X
 from loomtext.operators.align import LINKS_SQL, links_by_method
+from loomtext.operators.spans import term_spans
 from loomtext.plans.registry import query
 from loomtext.sources import formats
 from loomtext.sources.sinks import bundle
@@ -89,31 +90,13 @@ NOT_NUMBERS = ("achten", "achtete", "zweifel")
 
 
 def spans_of_numbers(texts: DataFrame, terms: tuple[str, ...] = (*IDIOMS, *NUMERALS)) -> DataFrame:
-    """id, text -> id, term, nth, word: each place where a word begins with a term, the longest terms first.
-
-    A term's words are taken from what longer terms left: taken words are blanked out, one term after another, so that no
-    place counts twice. Words that only look like numbers are blanked out before. Case does not matter.
-    """
-    order = sorted(terms, key=lambda t: -len(t))
-    rest = F.regexp_replace("text", r"(?iu)(?U)\b(" + "|".join(NOT_NUMBERS) + r")\w*", "\x01")
-    found = []
-    for term in order:
-        pattern = rf"(?iu)(?U)\b\Q{term}\E\w*"
-        words = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        found.append(F.arrays_zip(F.array_repeat(F.lit(term), F.size(words)).alias("term"), words.alias("word")))
-        rest = F.regexp_replace(rest, pattern, "\x01")
-    return texts.select("id", F.explode(F.flatten(F.array(*found))).alias("s")).select("id", "s.term", "s.word")
-
-
-_NUMBER_TEXTS = (
-    (1, "Es war halb sieben Uhr, zwei Tage lang.", "六時半だった、二日。"), (2, "Im Halbschlaf zweifelte er; dreiviertel vierzehn.", "まどろみの中で、十五分前。"), (3, "nichts", "なし"),
-    (4, "Achten Sie auf die achtzig, Zweifel hin, ACHT her, Hunderte.", "八十、八、百。"), (5, "Eine Viertelstunde und einviertel acht", "十五分と七時半"),
-)
-_NUMBERS_SQL = "n AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{d}')" for i, s, d in _NUMBER_TEXTS) + ") v(id, src, dst))"
+    """id, text -> id, term, start, word: each place where a word begins with a term, and not with what only looks like one."""
+    return term_spans(texts, terms, NOT_NUMBERS)
+
+
 # The oracle's spans: every place of every term by its position; a longer term's place hides those that overlap it.
 _NUMBER_SPANS_SQL = (
-    _NUMBERS_SQL
-    + ", t(term) AS (VALUES "
+    "t(term) AS (VALUES "
     + ", ".join(f"('{t}')" for t in (*IDIOMS, *NUMERALS))
     + r"""), w AS (SELECT id, lower(src) AS x, unnest(range(1, length(src) + 1)) AS pos FROM n),
 b AS (SELECT id, x, pos FROM w WHERE pos = 1 OR NOT regexp_matches(substr(x, pos - 1, 1), '[\p{L}\p{N}_]')),
@@ -121,17 +104,20 @@ p AS (SELECT b.id, t.term, pos, pos + length(t.term) + length(regexp_extract(sub
 g AS (SELECT * FROM p WHERE """
     + " AND ".join(f"NOT starts_with(tail, '{w}')" for w in NOT_NUMBERS)
     + """),
-s AS (SELECT id, term, substr(tail, 1, CAST(stop - pos AS INT)) AS word FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.id = g.id AND h.pos < g.stop AND g.pos < h.stop AND length(h.term) > length(g.term)))"""
+s AS (SELECT id, term, pos - 1 AS start, substr(tail, 1, CAST(stop - pos AS INT)) AS word FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.id = g.id AND h.pos < g.stop AND g.pos < h.stop AND length(h.term) > length(g.term)))"""
 )
 
 
-def _number_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_NUMBER_TEXTS, "id int, src string, dst string")
+_ANY_TERM = "|".join(t.lower() for t in (*IDIOMS, *NUMERALS))
+_DOCUMENTS_SQL = f"n AS (SELECT doc_id AS id, text AS src FROM documents WHERE regexp_matches(lower(text), '{_ANY_TERM}'))"
+_TURNS_SQL = "n AS (SELECT 1000 * u.conv_id + u.turn AS id, u.text AS src, a.text AS dst FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 
 
-@query("WITH " + _NUMBER_SPANS_SQL + " SELECT id, term, word FROM s")
+@query("WITH " + _DOCUMENTS_SQL + ", " + _NUMBER_SPANS_SQL + " SELECT id, term, start, word FROM s")
 def number_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans_of_numbers(_number_table(spark).select("id", F.col("src").alias("text"))).select("id", "term", F.lower("word").alias("word"))
+    """Numbers in the documents, with their places."""
+    found = spans_of_numbers(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select("id", "term", F.col("start").cast("long").alias("start"), F.lower("word").alias("word"))
 
 
 def missing_numbers(pairs: DataFrame) -> DataFrame:
@@ -145,11 +131,15 @@ def missing_numbers(pairs: DataFrame) -> DataFrame:
 
 
 @query(
-    "WITH " + _NUMBER_SPANS_SQL + ", f(term, form) AS (VALUES " + ", ".join(f"('{t}', '{f}')" for t, fs in {**IDIOMS, **NUMERALS}.items() for f in fs) + ") "
+    "WITH " + _TURNS_SQL + ", " + _NUMBER_SPANS_SQL + ", f(term, form) AS (VALUES " + ", ".join(f"('{t}', '{f}')" for t, fs in {**IDIOMS, **NUMERALS}.items() for f in fs) + ") "
     "SELECT DISTINCT s.id, s.term FROM s JOIN n ON n.id = s.id WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.term = s.term AND contains(n.dst, f.form))"
 )
 def audit_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return missing_numbers(_number_table(spark))
+    """Numbers of a user's turn of which the answer has no form."""
+    c = table(spark, sf_dir, "conversations")
+    answers = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("dst"))
+    turns = c.where("role = 'user'").join(answers, ["conv_id", "turn"])
+    return missing_numbers(turns.select((1000 * F.col("conv_id") + F.col("turn")).alias("id"), F.col("text").alias("src"), "dst"))
 
 
 @query(

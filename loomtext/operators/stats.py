@@ -11,10 +11,10 @@ from loomtext.operators.align import LINKS_SQL, links_by_method
 from loomtext.plans.registry import query
 from loomtext.sources.scratch import cut
 
-#: Blocks that the exact test enumerates the signs of, at most.
-MAX_BLOCKS = 20
-_FIXTURE = [(1, 1.0, 2), (2, -0.5, 1), (3, 2.0, 3), (4, 0.0, 1), (5, 1.5, 2), (6, -1.0, 2), (7, 0.5, 1), (8, 1.0, 1)]
-_FIXTURE_SQL = "b AS (SELECT block, diff, size, row_number() OVER (ORDER BY block) - 1 AS bit FROM (VALUES " + ", ".join(f"({b}, {d}::DOUBLE, {s})" for b, d, s in _FIXTURE) + ") v(block, diff, size))"
+#: Standard deviations that a distribution of signed sums is followed out to: beyond, less than 1e-300 is left.
+REACH = 40.0
+#: Products of two distributions of more cells than this are made by Fourier transforms, which are exact to 1e-15 only.
+DIRECT = 1 << 34
 
 
 def outcome_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,28 +24,64 @@ def outcome_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.expr("a.pair_id = b.pair_id and a.i = b.i")).groupBy(F.col("a.pair_id").alias("block")).agg(F.sum(F.col("a.o") - F.col("b.o")).alias("diff"), F.count("*").alias("size"))
 
 
-def exact(blocks: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """observed, p_value over all sign vectors of the blocks; more than max_blocks is an error."""
-    n = blocks.count()
-    if not 0 < n <= max_blocks:
-        raise ValueError(f"the exact test takes 1 to {max_blocks} blocks, not {n}")
-    spark = blocks.sparkSession
-    listed = blocks.orderBy("block").select("diff", "size").collect()
-    total = float(sum(r["size"] for r in listed))
-    observed = sum(r["diff"] for r in listed) / total
-    signed = sum((F.when(F.col("id").bitwiseAND(F.lit(1 << k)) != 0, F.lit(float(r["diff"]))).otherwise(F.lit(-float(r["diff"]))) for k, r in enumerate(listed)), F.lit(0.0))
-    extreme = F.abs(signed / total) >= abs(observed) - 1e-12
-    return spark.range(1 << n).agg(F.lit(observed).alias("observed"), (F.count_if(extreme) / F.lit(float(1 << n))).alias("p_value"))
+def _signs(count: int) -> np.ndarray:
+    """Probabilities of k minus signs of `count`, around the middle, for all k that REACH leaves."""
+    from math import lgamma, log
 
+    half = min(count, int(REACH * count**0.5) + 1)
+    k = np.arange((count - half + 1) // 2, (count + half) // 2 + 1)
+    return np.exp([lgamma(count + 1) - lgamma(x + 1) - lgamma(count - x + 1) - count * log(2) for x in k])
 
-@query(
-    "WITH "
-    + _FIXTURE_SQL
-    + """, m AS (SELECT unnest(range(256)) AS m), s AS (SELECT m, sum(CASE WHEN (m >> bit) & 1 = 1 THEN diff ELSE -diff END) / sum(size) AS x FROM m, b GROUP BY m), o AS (SELECT sum(diff) / sum(size) AS observed FROM b)
-SELECT observed, avg(CASE WHEN abs(x) >= abs(observed) - 1e-12 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value FROM s, o GROUP BY observed"""
-)
-def perm_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact(spark.createDataFrame(_FIXTURE, "block int, diff double, size int"))
+
+def signed_sums(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and probabilities of the sum of whole numbers whose signs are drawn; counts: how often each size occurs.
+
+    Numbers of one size are a scaled binomial, so a distribution is folded in for each different size, not for each number.
+    """
+    values, chances = np.zeros(1, np.int64), np.ones(1)
+    variance = 0.0
+    for size, count in sorted(counts.items()):
+        if not size:
+            continue
+        own = _signs(count)
+        variance += float(size) ** 2 * count
+        spread = np.zeros(2 * size * (len(own) - 1) + 1)
+        spread[:: 2 * size] = own
+        if len(chances) * len(spread) <= DIRECT:
+            chances = np.convolve(chances, spread)
+        else:
+            n = len(chances) + len(spread) - 1
+            chances = np.maximum(np.fft.irfft(np.fft.rfft(chances, n) * np.fft.rfft(spread, n), n), 0)
+        # Both are symmetric, so the middle stays 0.
+        values = np.arange(len(chances)) - (len(chances) - 1) // 2
+        near = np.abs(values) <= REACH * variance**0.5 + 1
+        values, chances = values[near], chances[near]
+    return values, chances
+
+
+def exact(blocks: DataFrame, step: float = 1.0) -> DataFrame:
+    """observed, p_value, blocks over all sign vectors of any number of blocks (diff, size), whose diffs are multiples of step.
+
+    Only how often each |diff| occurs is brought to the task that folds the distribution. A diff that is no multiple of
+    step is an error. No blocks, or none that has a size, give no row; null diffs and sizes count as 0.
+    """
+    units = F.coalesce(F.col("diff").cast("double"), F.lit(0.0)) / step
+    rows = blocks.select(units.alias("_u"), F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("_size"))
+    whole = F.when(F.abs(F.col("_u") - F.rint("_u")) > 1e-6, F.raise_error(F.lit(f"a difference is no multiple of {step}"))).otherwise(F.abs(F.rint("_u")).cast("long"))
+    counted = rows.groupBy(whole.alias("units")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.rint("_u")).alias("total"), F.sum("_size").alias("size"))
+
+    def run(batches):
+        import pandas as pd
+
+        found = pd.concat(list(batches))
+        size = int(found["size"].sum()) if len(found) else 0
+        if size:
+            total = float(found["total"].sum())
+            values, chances = signed_sums(dict(zip(found["units"].tolist(), found["n"].tolist(), strict=True)))
+            extreme = np.abs(values * step / size) >= abs(total * step / size) - 1e-12
+            yield pd.DataFrame({"observed": [total * step / size], "p_value": [min(1.0, chances[extreme].sum())], "blocks": [int(found["n"].sum())]})
+
+    return counted.repartition(1).mapInPandas(run, "observed double, p_value double, blocks long")
 
 
 #: Signs that one hash gives.
@@ -106,6 +142,19 @@ u AS (SELECT a.pair_id, a.ps, a.o - b.o AS diff FROM o a JOIN o b ON a.method =
 )
 
 
+@query(
+    _OUTCOMES_SQL
+    + """, b AS (SELECT CAST(sum(diff) AS BIGINT) AS diff, count(*) AS size, row_number() OVER (ORDER BY pair_id) AS k FROM u GROUP BY pair_id),
+w AS (SELECT CAST(sum(abs(diff)) AS BIGINT) AS reach, sum(diff) AS total, sum(size) AS size, count(*) AS n FROM b),
+c AS (SELECT CAST(0 AS BIGINT) AS k, list_transform(range(-reach, reach + 1), lambda x: CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p FROM w
+ UNION ALL SELECT b.k, list_transform(range(1, len(p) + 1), lambda x: (CASE WHEN x > abs(diff) THEN p[x - abs(diff)] ELSE 0.0::DOUBLE END + CASE WHEN x + abs(diff) <= len(p) THEN p[x + abs(diff)] ELSE 0.0::DOUBLE END) / 2) FROM c JOIN b ON b.k = c.k + 1)
+SELECT total / size AS observed, (SELECT sum(x) FROM (SELECT unnest(p) AS x, unnest(range(-reach, reach + 1)) AS v) WHERE abs(v / size) >= abs(total / size) - 1e-12) AS p_value, n AS blocks FROM c, w WHERE c.k = w.n"""
+)
+def perm_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact test of the length model against the diagonal, over all signs of all pairs' blocks."""
+    return exact(outcome_blocks(spark, sf_dir))
+
+
 @query(_OUTCOMES_SQL + ", b AS (SELECT CAST(pair_id AS VARCHAR) AS block, sum(diff) AS diff, count(*) AS size FROM u GROUP BY pair_id) " + monte_carlo_sql("b"))
 def perm_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monte_carlo(outcome_blocks(spark, sf_dir))
