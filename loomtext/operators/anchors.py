@@ -28,14 +28,20 @@ from loomtext.sources.tables import sentences
 SPACING = 200
 
 
+def measured(texts: DataFrame, features: Column | None = None) -> DataFrame:
+    """texts with n, the length of each, and features, as hashes, in place of the text: all that an alignment needs of it."""
+    found = X.tokens(F.col("text")) if features is None else features
+    return texts.withColumn("n", F.length("text")).withColumn("features", F.transform(F.array_distinct(found), lambda x: F.xxhash64(x))).drop("text")
+
+
 def positions(sides: DataFrame) -> DataFrame:
-    """sides (pair_id, side, ord, text) with pos, each text's place in its side, from 0."""
+    """sides (pair_id, side, ord and more) with pos, each text's place in its side, from 0."""
     return sides.withColumn("pos", (F.row_number().over(W.partitionBy("pair_id", "side").orderBy("ord")) - 1).cast("int"))
 
 
-def ties(placed: DataFrame, features: Column) -> DataFrame:
+def ties(placed: DataFrame) -> DataFrame:
     """pair_id, i, j, votes: sentences that have features in common which occur once on either side."""
-    each = placed.select("pair_id", "side", "pos", F.explode(F.array_distinct(features)).alias("feature"))
+    each = placed.select("pair_id", "side", "pos", F.explode("features").alias("feature"))
     place = lambda s: F.min(F.when(F.col("side") == s, F.col("pos")))
     count = lambda s: F.count_if(F.col("side") == s)
     once = each.groupBy("pair_id", "feature").agg(place("src").alias("i"), place("dst").alias("j"), count("src").alias("_n"), count("dst").alias("_m")).where("_n = 1 and _m = 1")
@@ -84,7 +90,7 @@ def cuts_of(tied: DataFrame, spacing: int) -> DataFrame:
 def parts_of(placed: DataFrame, cuts: DataFrame) -> DataFrame:
     """pair_id, part, i0, j0 (first places), src, dst (lengths), ratio (of the pair) of each part between cuts."""
     marks = cuts.select("pair_id", F.lit("src").alias("side"), F.col("i").alias("pos"), F.lit(1).alias("_mark")).unionByName(cuts.select("pair_id", F.lit("dst").alias("side"), F.col("j").alias("pos"), F.lit(1).alias("_mark")))
-    rows = placed.select("pair_id", "side", "pos", F.length("text").alias("n")).join(marks, ["pair_id", "side", "pos"], "left")
+    rows = placed.select("pair_id", "side", "pos", "n").join(marks, ["pair_id", "side", "pos"], "left")
     rows = rows.withColumn("part", F.count("_mark").over(W.partitionBy("pair_id", "side").orderBy("pos")).cast("int"))
     of = lambda s, c: F.when(F.col("side") == s, F.col(c))
     lengths = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("pos", "n")))), lambda x: x["n"])
@@ -98,17 +104,19 @@ def parts_of(placed: DataFrame, cuts: DataFrame) -> DataFrame:
 def align_editions(sides: DataFrame, features: Column | None = None, spacing: int = SPACING) -> DataFrame:
     """Beads of pairs of any length, by the length model: pair_id, outcome, i0, i1, j0, j1.
 
-    sides: pair_id, side (src, dst), ord, text. features: an array for each row, its words unless it is given. A pair that
+    sides: pair_id, side (src, dst), ord, text, or in place of text what measured() makes of it. features: an array for each
+    row, its words unless it is given. A pair that
     can't be aligned is one row with its outcome and no bounds; so is one without source text, or without either side. Where
     the ties are right, the beads are those that aligning the whole pair gives. Rows of a null pair_id are left out; null
     texts have no length and no features; equal ords stand in any order.
     """
-    placed = cut(positions(sides.where("pair_id is not null and side in ('src', 'dst')").withColumn("_f", X.tokens(F.col("text")) if features is None else features)))
-    parts = cut(parts_of(placed, cuts_of(ties(placed, F.col("_f")), spacing)))
+    lean = sides if "features" in sides.columns else measured(sides, features)
+    placed = cut(positions(lean.where("pair_id is not null and side in ('src', 'dst')").select("pair_id", "side", "ord", "n", "features")))
+    parts = cut(parts_of(placed, cuts_of(ties(placed), spacing)))
     done = cut(alignments(parts.where("ratio is not null")))
     failed = done.where(F.col("outcome") != ALIGNED).select("pair_id").distinct()
     several = failed.join(parts.where("part > 0").select("pair_id").distinct(), "pair_id", "left_semi")
-    again = alignments(length_arrays(placed.join(several, "pair_id", "left_semi")))
+    again = alignments(length_arrays(placed.join(several, "pair_id", "left_semi").drop("features")))
     kept = done.join(several, "pair_id", "left_anti").select("pair_id", "outcome", F.coalesce("i0", F.lit(0)).alias("_i"), F.coalesce("j0", F.lit(0)).alias("_j"), "beads")
     both = kept.unionByName(again.select("pair_id", "outcome", F.lit(0).alias("_i"), F.lit(0).alias("_j"), "beads"))
     beads = both.where(F.col("outcome") == ALIGNED).select("pair_id", "outcome", "_i", "_j", F.explode("beads").alias("b"))
@@ -119,18 +127,23 @@ def align_editions(sides: DataFrame, features: Column | None = None, spacing: in
     return placed_beads.unionByName(unaligned.unionByName(without).select("pair_id", "outcome", *nothing))
 
 
-def copies_as_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents that begin alike: src is the first (by doc_id) with that sentence at its head, dst each other one."""
+def copies_as_sides(spark: SparkSession, sf_dir: str, lean: bool = False) -> DataFrame:
+    """Sentences of documents that begin alike: src is the first (by doc_id) with that sentence at its head, dst each other one.
+
+    lean: what measured() makes of them, tied by whole sentences, so that no text is copied to the pairs.
+    """
     texts = sentences(spark, sf_dir).select("doc_id", F.struct("par", "sent").alias("ord"), "text")
-    heads = texts.where("ord.par = 1 and ord.sent = 1").select("doc_id", F.col("text").alias("head"))
+    heads = texts.where("ord.par = 1 and ord.sent = 1").select("doc_id", F.xxhash64("text").alias("head"))
+    texts = measured(texts, F.array("text")) if lean else texts
+    rest = [c for c in texts.columns if c != "doc_id"]
     first = heads.groupBy("head").agg(F.min("doc_id").alias("first"))
     pairs = cut(heads.join(first, "head").where("doc_id > first").select(F.col("doc_id").alias("pair_id"), "first"))
-    dst = texts.join(pairs, F.col("doc_id") == F.col("pair_id")).select("pair_id", F.lit("dst").alias("side"), "ord", "text")
-    src = texts.join(pairs, F.col("doc_id") == F.col("first")).select("pair_id", F.lit("src").alias("side"), "ord", "text")
+    dst = texts.join(pairs, F.col("doc_id") == F.col("pair_id")).select("pair_id", F.lit("dst").alias("side"), *rest)
+    src = texts.join(pairs, F.col("doc_id") == F.col("first")).select("pair_id", F.lit("src").alias("side"), *rest)
     return src.unionByName(dst)
 
 
 @query()
 def align_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beads between near copies of documents, tied by whole sentences. tests/test_anchors.py holds them against the aligner of whole pairs."""
-    return align_editions(copies_as_sides(spark, sf_dir), F.array("text"))
+    return align_editions(copies_as_sides(spark, sf_dir, lean=True))

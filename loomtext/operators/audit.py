@@ -136,14 +136,14 @@ def outside_band(rows: DataFrame, low: float, high: float, least: int = 5) -> Da
 for _name, _sql in AUDITS.items():
     shared(_name, _sql, _sql.replace("LEFT ANTI JOIN", "ANTI JOIN"))
 
-_TEXTS = "(VALUES (1, 'plain'), (2, 'при'), (3, '한국'), (4, 'tab\tok'), (5, 'bell!'), (6, 'при allow-script')) AS v(id, t)"
+_BAD_SIGNS = "[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1FЀ-ԯ가-힣ᄀ-ᇿ㄰-㆏]"
+# Lines of pages with signs of scripts that don't belong there, put in where an address has a certain rest.
+_LINES = "SELECT page_id, CASE page_id % 5 WHEN 0 THEN concat(html, 'при') WHEN 1 THEN concat(html, '한국 allow-script') WHEN 2 THEN concat(html, chr(7)) WHEN 3 THEN concat(html, '한') ELSE html END AS t FROM {pages}"
 shared_all(
     {
         "text_hygiene": (
-            "SELECT id, CASE WHEN t RLIKE '[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1F]' THEN 'control' WHEN t RLIKE '[Ѐ-ԯ]' THEN 'cyrillic' ELSE 'hangul' END AS problem FROM VALUES (1, 'plain'), (2, 'при'), (3, '한국'), (4, 'tab\tok'), (5, concat('bell', chr(7))), (6, 'при allow-script') AS v(id, t) "
-            "WHERE t RLIKE '[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1FЀ-ԯ가-힣ᄀ-ᇿ㄰-㆏]' AND t NOT LIKE '%allow-script%'",
-            "SELECT id, CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'control' WHEN regexp_matches(t, '[Ѐ-ԯ]') THEN 'cyrillic' ELSE 'hangul' END AS problem FROM (VALUES (1, 'plain'), (2, 'при'), (3, '한국'), (4, 'tab\tok'), (5, 'bell' || chr(7)), (6, 'при allow-script')) AS v(id, t) "
-            "WHERE regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1FЀ-ԯ가-힣ᄀ-ᇿ㄰-㆏]') AND t NOT LIKE '%allow-script%'",
+            "SELECT page_id, CASE WHEN t RLIKE '[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1F]' THEN 'control' WHEN t RLIKE '[Ѐ-ԯ]' THEN 'cyrillic' ELSE 'hangul' END AS problem FROM (" + _LINES + ") x WHERE t RLIKE '" + _BAD_SIGNS + "' AND t NOT LIKE '%allow-script%'",
+            "SELECT page_id, CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') THEN 'control' WHEN regexp_matches(t, '[Ѐ-ԯ]') THEN 'cyrillic' ELSE 'hangul' END AS problem FROM (" + _LINES + ") x WHERE regexp_matches(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1FЀ-ԯ가-힣ᄀ-ᇿ㄰-㆏]') AND t NOT LIKE '%allow-script%'",
         ),
         "glob_exempt": (
             "SELECT page_id, url RLIKE '^.*/en/.*$' OR url RLIKE '^https://blog[.].*$' AS exempt FROM {pages}",
@@ -151,26 +151,15 @@ shared_all(
         ),
         # Key and value at the first sign of equality.
         "parse_kv": (
-            "SELECT id, split(kv, '=', 2)[0] AS k, split(kv, '=', 2)[1] AS v FROM VALUES (1, 'a=1'), (2, 'commit=72817e6'), (3, 'x=y=z') AS t(id, kv)",
-            "SELECT id, split_part(kv, '=', 1) AS k, substr(kv, instr(kv, '=') + 1) AS v FROM (VALUES (1, 'a=1'), (2, 'commit=72817e6'), (3, 'x=y=z')) AS t(id, kv)",
-        ),
-        "diff_added_lines": (
-            "WITH raw AS (SELECT posexplode(split('+++ b/x.py~@@ -1,2 +3,4 @@~ ctx~+new one~-gone~+new two~+++ b/y.py~@@ -0,0 +1 @@~+only', '~')) AS (p, l)), "
-            "m AS (SELECT p, l, last(CASE WHEN l LIKE '+++ b/%' THEN substr(l, 7) END, true) OVER (PARTITION BY 1 ORDER BY p) AS file, sum(CASE WHEN l LIKE '@@%' THEN 1 ELSE 0 END) OVER (PARTITION BY 1 ORDER BY p) AS hunk, "
-            "CASE WHEN l LIKE '@@%' THEN CAST(regexp_extract(l, '[+]([0-9]+)', 1) AS BIGINT) END AS first FROM raw), "
-            "n AS (SELECT *, max(first) OVER (PARTITION BY hunk) + sum(CASE WHEN (l LIKE '+%' OR l LIKE ' %') AND l NOT LIKE '+++ b/%' THEN 1 ELSE 0 END) OVER (PARTITION BY hunk ORDER BY p) - 1 AS line FROM m) "
-            "SELECT file, line, substr(l, 2) AS text FROM n WHERE l LIKE '+%' AND l NOT LIKE '+++ b/%'",
-            "WITH x AS (SELECT string_split('+++ b/x.py~@@ -1,2 +3,4 @@~ ctx~+new one~-gone~+new two~+++ b/y.py~@@ -0,0 +1 @@~+only', '~') AS a), raw AS (SELECT unnest(range(len(a))) AS p, unnest(a) AS l FROM x), "
-            "m AS (SELECT p, l, last_value(CASE WHEN l LIKE '+++ b/%' THEN substr(l, 7) END IGNORE NULLS) OVER (ORDER BY p) AS file, sum(CASE WHEN l LIKE '@@%' THEN 1 ELSE 0 END) OVER (ORDER BY p) AS hunk, "
-            "CASE WHEN l LIKE '@@%' THEN CAST(regexp_extract(l, '[+]([0-9]+)', 1) AS BIGINT) END AS first FROM raw), "
-            "n AS (SELECT *, max(first) OVER (PARTITION BY hunk) + sum(CASE WHEN (l LIKE '+%' OR l LIKE ' %') AND l NOT LIKE '+++ b/%' THEN 1 ELSE 0 END) OVER (PARTITION BY hunk ORDER BY p) - 1 AS line FROM m) "
-            "SELECT file, CAST(line AS BIGINT) AS line, substr(l, 2) AS text FROM n WHERE l LIKE '+%' AND l NOT LIKE '+++ b/%'",
+            "SELECT event_id, split(kv, '=', 2)[0] AS k, split(kv, '=', 2)[1] AS v FROM (SELECT event_id, concat(event_type, '=', props, '=', event_type) AS kv FROM {events}) x",
+            "SELECT event_id, split_part(kv, '=', 1) AS k, substr(kv, instr(kv, '=') + 1) AS v FROM (SELECT event_id, concat(event_type, '=', props, '=', event_type) AS kv FROM {events}) x",
         ),
+        # Lines of a document between blank ones, of which its sources are made up.
         "block_records": (
-            "WITH raw AS (SELECT posexplode(split('worktree /a~branch main~~worktree /b~branch dev~~', '~')) AS (p, l)), b AS (SELECT *, sum(CASE WHEN l = '' THEN 1 ELSE 0 END) OVER (PARTITION BY 1 ORDER BY p) AS block FROM raw) "
-            "SELECT CAST(block AS BIGINT) AS block, max(CASE WHEN l LIKE 'worktree %' THEN substr(l, 10) END) AS worktree, max(CASE WHEN l LIKE 'branch %' THEN substr(l, 8) END) AS branch FROM b WHERE l <> '' GROUP BY block",
-            "WITH x AS (SELECT string_split('worktree /a~branch main~~worktree /b~branch dev~~', '~') AS a), raw AS (SELECT unnest(range(len(a))) AS p, unnest(a) AS l FROM x), b AS (SELECT *, sum(CASE WHEN l = '' THEN 1 ELSE 0 END) OVER (ORDER BY p) AS block FROM raw) "
-            "SELECT CAST(block AS BIGINT) AS block, max(CASE WHEN l LIKE 'worktree %' THEN substr(l, 10) END) AS worktree, max(CASE WHEN l LIKE 'branch %' THEN substr(l, 8) END) AS branch FROM b WHERE l <> '' GROUP BY block",
+            "WITH raw AS (SELECT doc_id, posexplode(split(concat(text, '\\n\\n', source, '\\n', lang), '\\n')) AS (p, l) FROM {documents} WHERE text IS NOT NULL), b AS (SELECT *, sum(CASE WHEN l = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS block FROM raw) "
+            "SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS n, min_by(l, p) AS first, max_by(l, p) AS last FROM b WHERE l <> '' GROUP BY doc_id, block",
+            "WITH x AS (SELECT doc_id, string_split(concat(text, chr(10), chr(10), source, chr(10), lang), chr(10)) AS a FROM {documents} WHERE text IS NOT NULL), raw AS (SELECT doc_id, unnest(range(len(a))) AS p, unnest(a) AS l FROM x), "
+            "b AS (SELECT *, sum(CASE WHEN l = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS block FROM raw) SELECT doc_id, CAST(block AS BIGINT) AS block, count(*) AS n, arg_min(l, p) AS first, arg_max(l, p) AS last FROM b WHERE l <> '' GROUP BY doc_id, block",
         ),
     }
 )

@@ -35,7 +35,7 @@ LOG = {
     "fact_events": "SELECT loop, line, event, ts FROM {log}",
     "fact_loops": _WITH + "SELECT loop, max_by(value, CASE WHEN event = 'loop_start' THEN line END) AS goal, count(CASE WHEN event = 'failure' THEN 1 END) AS n_failures, count(CASE WHEN event = 'commit' THEN 1 END) AS n_commits, count(CASE WHEN event = 'test_run' THEN 1 END) AS n_test_runs FROM e GROUP BY loop",
     "fact_failures": _WITH + "SELECT loop, line, value, row_number() OVER (PARTITION BY loop ORDER BY line) AS nth FROM e WHERE event = 'failure'",
-    "dim_taxonomy": "SELECT code, category FROM " + TAXONOMY,
+    "dim_taxonomy": "SELECT code, category, count(line) AS n FROM " + TAXONOMY + " LEFT JOIN {log} l ON l.event = code GROUP BY code, category",
     "failure_dim_join": _WITH + "SELECT coalesce(t.category, '?') AS category, count(*) AS n FROM e LEFT JOIN " + TAXONOMY + " ON t.code = e.event GROUP BY coalesce(t.category, '?')",
 }
 

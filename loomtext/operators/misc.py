@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from loomtext.functions import text as X
@@ -165,8 +164,6 @@ def reading_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Steps between ticks; above the last, hundreds.
 STEPS = (1, 2, 5, 10, 20, 25, 50, 100, 200, 250, 500)
-_AXES = ((1, 5), (2, 5), (9, 5), (97, 5), (120, 5), (696, 5), (1227, 5), (1227, 0), (4961, 6))
-
 
 def ticks(axes: DataFrame) -> DataFrame:
     """n, approx -> tick: about `approx` ticks on 0..n-1, at the first step that is wide enough, and the end."""
@@ -179,12 +176,13 @@ def ticks(axes: DataFrame) -> DataFrame:
 
 
 @query(
-    "WITH a(n, approx) AS (VALUES " + ", ".join(map(str, _AXES)) + "), r AS (SELECT *, CAST(greatest(1, floor(CAST(n AS DOUBLE) / greatest(approx, 1) + 0.5)) AS INT) AS raw FROM a), "
+    "WITH a AS (SELECT DISTINCT CAST(length(coalesce(text, '')) AS INT) AS n, CAST(doc_id % 8 AS INT) AS approx FROM documents), r AS (SELECT *, CAST(greatest(1, floor(CAST(n AS DOUBLE) / greatest(approx, 1) + 0.5)) AS INT) AS raw FROM a), "
     "s AS (SELECT *, coalesce((SELECT min(x) FROM (VALUES " + ", ".join(f"({x})" for x in STEPS) + ") v(x) WHERE x >= raw), CAST(ceil(raw / 100.0) * 100 AS INT)) AS step FROM r) "
     "SELECT n, approx, CAST(t AS BIGINT) AS tick FROM (SELECT n, approx, unnest(range(0, n, step)) AS t FROM s UNION SELECT n, approx, greatest(n - 1, 0) FROM s)"
 )
 def axis_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks(spark.createDataFrame(_AXES, "n int, approx int"))
+    """Ticks for axes as long as each document."""
+    return ticks(table(spark, sf_dir, "documents").select(F.length(F.coalesce("text", F.lit(""))).alias("n"), (F.col("doc_id") % 8).cast("int").alias("approx")).distinct())
 
 
 @query(
@@ -199,9 +197,16 @@ def svg_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links_by_method(spark, sf_dir).where("method = 'length'").groupBy("pair_id").agg(points.alias("p")).select("pair_id", F.array_join(shown, " ").alias("path"))
 
 
-# Attention of windows: (window, layer, target token, source token, target sentence, source sentence, weight).
-ATTENTION = [(w, y, t, s, t // 2 + w, s // 3 + w, round(((3 * t + 5 * s + 7 * w + y) % 11) / 11, 6)) for w in range(3) for y in range(2) for t in range(4) for s in range(6)]
-_ATTENTION_SQL = "WITH a AS (SELECT * FROM (VALUES " + ", ".join(f"({w}, {y}, {t}, {s}, {d}, {o}, {x}::DOUBLE)" for w, y, t, s, d, o, x in ATTENTION) + ") v(w, layer, t, s, dst, src, x))"
+# Weights between the turns of a conversation (a window), in two layers, in place of attention between tokens; two turns are
+# a sentence. Both engines read this.
+_ATTENTION = """SELECT d.pair_id AS w, y.layer, d.ord AS t, s.ord AS s, CAST(floor(d.ord / 2) AS BIGINT) AS dst, CAST(floor(s.ord / 2) AS BIGINT) AS src,
+CASE y.layer WHEN 0 THEN CAST(least(length(d.text), length(s.text)) AS DOUBLE) / greatest(length(d.text), length(s.text), 1) ELSE CAST(1 AS DOUBLE) / (1 + abs(d.ord - s.ord)) END AS x
+FROM {sides} d JOIN {sides} s ON d.pair_id = s.pair_id AND d.side = 'dst' AND s.side = 'src' JOIN (SELECT 0 AS layer UNION ALL SELECT 1 AS layer) y ON 1 = 1"""
+_ATTENTION_SQL = "WITH " + SIDES_SQL + ", a AS (" + _ATTENTION.format(sides="sides") + ")"
+
+
+def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ATTENTION, sides=conversation_sides(spark, sf_dir))
 
 
 def fold_attention(tokens: DataFrame, *more: str) -> DataFrame:
@@ -215,12 +220,12 @@ def fold_attention(tokens: DataFrame, *more: str) -> DataFrame:
 
 @query(_ATTENTION_SQL + ", m AS (SELECT w, t, s, dst, src, avg(x) AS x FROM a GROUP BY ALL), b AS (SELECT w, t, dst, src, sum(x) AS x FROM m GROUP BY ALL), c AS (SELECT w, dst, src, avg(x) AS x FROM b GROUP BY ALL) SELECT dst, src, round(avg(x), 6) AS score FROM c GROUP BY ALL")
 def attention_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_attention(spark.createDataFrame(ATTENTION, "w int, layer int, t int, s int, dst int, src int, x double"))
+    return fold_attention(attention(spark, sf_dir))
 
 
 @query(_ATTENTION_SQL + ", b AS (SELECT layer, w, t, dst, src, sum(x) AS x FROM a GROUP BY ALL), c AS (SELECT layer, w, dst, src, avg(x) AS x FROM b GROUP BY ALL) SELECT layer, dst, src, round(avg(x), 6) AS score FROM c GROUP BY ALL")
 def attention_fold_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold_attention(spark.createDataFrame(ATTENTION, "w int, layer int, t int, s int, dst int, src int, x double"), "layer")
+    return fold_attention(attention(spark, sf_dir), "layer")
 
 
 def encoder_layer(x: np.ndarray, mask: np.ndarray, p: dict[str, np.ndarray], heads: int) -> np.ndarray:
@@ -269,22 +274,22 @@ def bert_forward_tiny(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, pooled array<double>")
 
 
-@query("SELECT 'w' AS name, 'F32' AS dtype, '2x3' AS shape, CAST(24 AS BIGINT) AS bytes UNION ALL SELECT 'b', 'I64', '4', 32")
+@query(
+    """WITH b AS (SELECT label, CAST(floor(vec_id / 512) AS BIGINT) AS block, count(*) AS n, max(len(embedding)) AS width FROM embeddings GROUP BY ALL)
+SELECT label, block, 'embedding' AS name, 'F32' AS dtype, n || 'x' || width AS shape, n * width * 4 AS bytes FROM b UNION ALL SELECT label, block, 'vec_id', 'I64', CAST(n AS VARCHAR), n * 8 FROM b"""
+)
 def scan_safetensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = formats.write_safetensors({"w": np.arange(6, dtype="<f4").reshape(2, 3), "b": np.arange(4, dtype="<i8")})
-    found = formats.explode_safetensors(spark.createDataFrame([(bytearray(content),)], "content binary"))
-    return found.select("name", "dtype", F.array_join(F.transform("shape", lambda x: x.cast("string")), "x").alias("shape"), F.octet_length("data").cast("long").alias("bytes"))
-
-
-@query("SELECT 'むりだ。' AS text")
-def scan_charset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(bytearray("むりだ。".encode("shift_jis")),)], "content binary")
+    """The tensors of a safetensors file for each label and block of 512 ids: the vectors, and their ids."""
 
-    @F.pandas_udf(T.StringType())
-    def decode(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: bytes(b).decode("shift_jis"))
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vec_id")
+        content = formats.write_safetensors({"embedding": np.array(rows["embedding"].tolist(), "<f4"), "vec_id": rows["vec_id"].to_numpy("<i8")})
+        return pd.DataFrame({"label": [rows["label"].iloc[0]], "block": [rows["block"].iloc[0]], "content": [content]})
 
-    return raw.select(decode("content").alias("text"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding", F.floor(F.col("vec_id") / 512).alias("block"))
+    files = vectors.groupBy("label", "block").applyInPandas(pack, "label long, block long, content binary")
+    found = formats.explode_safetensors(files, "label", "block")
+    return found.select("label", "block", "name", "dtype", F.array_join(F.transform("shape", lambda x: x.cast("string")), "x").alias("shape"), F.octet_length("data").cast("long").alias("bytes"))
 
 
 @query("SELECT vec_id, CAST(len(embedding) AS BIGINT) AS width, embedding[1] AS first FROM embeddings")

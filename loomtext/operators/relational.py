@@ -24,15 +24,16 @@ SCANS = {
         "SELECT event_id AS line, event_type FROM {events} WHERE try_parse_json(props) IS NOT NULL",
         "SELECT event_id AS line, event_type FROM {events} WHERE json_valid(props)",
     ),
-    "log_parse_errors": (
-        "SELECT line, try_parse_json(raw) IS NULL AS broken FROM VALUES (1, '{\"a\": 1}'), (2, '{\"a\": '), (4, 'x'), (5, '{}') AS v(line, raw)".replace("{}", "[]"),
-        "SELECT line, NOT json_valid(raw) AS broken FROM (VALUES (1, '{\"a\": 1}'), (2, '{\"a\": '), (4, 'x'), (5, '[]')) AS v(line, raw)",
-    ),
     "scan_embeddings": ("SELECT vec_id, label, CAST(size(embedding) AS BIGINT) AS dim FROM {embeddings}", "SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS dim FROM {embeddings}"),
     "content_sha256": ("SELECT doc_id, sha2(text, 256) AS sha FROM {documents}", "SELECT doc_id, sha256(text) AS sha FROM {documents}"),
     "path_filter": "SELECT page_id, url FROM {pages} WHERE url LIKE '%.html' AND url NOT LIKE '%/de/%' AND url NOT LIKE '%m.%'",
 }
 
+_RUNS = (
+    "SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat(CAST(event_id % 4 AS {text}), ' passed') WHEN 1 THEN 'collected 0 items' WHEN 2 THEN ' ' WHEN 3 THEN concat('boom ', event_type) "
+    "WHEN 4 THEN concat('0 passed, ', CAST(event_id % 3 AS {text}), ' failed') ELSE concat('no tests ran in ', CAST(event_id % 9 AS {text}), 's') END AS out FROM {{events}}"
+)
+
 #: Filters and predicates
 FILTERS = {
     "facet_filter": "SELECT p_partkey, p_type FROM {part} WHERE p_type = (SELECT min(p_type) FROM {part})",
@@ -47,19 +48,14 @@ FILTERS = {
         "SELECT doc_id, CASE WHEN text RLIKE 'token = .[0-9a-f]+' THEN 'block' ELSE 'warn' END AS kind FROM {documents} WHERE text RLIKE 'token = .[0-9a-f]+|[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+'",
         "SELECT doc_id, CASE WHEN regexp_matches(text, 'token = .[0-9a-f]+') THEN 'block' ELSE 'warn' END AS kind FROM {documents} WHERE regexp_matches(text, 'token = .[0-9a-f]+|[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')",
     ),
-    "stray_cr": (
-        "SELECT id, CAST(regexp_count(t, '\\\\r(?!\\\\n)') AS BIGINT) AS n FROM VALUES (1, 'a\\rb\\r\\nc'), (2, 'end\\r'), (3, 'ok\\r\\n') AS v(id, t)",
-        "SELECT id, CAST((length(t) - length(replace(t, chr(13), ''))) - (length(t) - length(replace(t, chr(13) || chr(10), chr(13)))) AS BIGINT) AS n FROM (VALUES (1, 'a' || chr(13) || 'b' || chr(13) || chr(10) || 'c'), (2, 'end' || chr(13)), (3, 'ok' || chr(13) || chr(10))) AS v(id, t)",
-    ),
     "first_hit": (
         "SELECT lang, min_by(doc_id, doc_id) AS doc_id, min_by(length(text), doc_id) AS chars FROM {documents} WHERE text LIKE '%er%' GROUP BY lang",
         "SELECT lang, min(doc_id) AS doc_id, arg_min(length(text), doc_id) AS chars FROM {documents} WHERE text LIKE '%er%' GROUP BY lang",
     ),
+    # What a test run printed, made of the events.
     "ran_classifier": (
-        "SELECT id, CASE WHEN out RLIKE 'no tests ran|collected 0 items' THEN 'none' WHEN out RLIKE '[1-9][0-9]* (passed|failed)' THEN 'ran' WHEN trim(out) = '' THEN 'silent' ELSE 'unknown' END AS verdict "
-        "FROM VALUES (1, '3 passed'), (2, 'collected 0 items'), (3, ' '), (4, 'boom'), (5, '0 passed, 2 failed') AS v(id, out)",
-        "SELECT id, CASE WHEN regexp_matches(out, 'no tests ran|collected 0 items') THEN 'none' WHEN regexp_matches(out, '[1-9][0-9]* (passed|failed)') THEN 'ran' WHEN trim(out) = '' THEN 'silent' ELSE 'unknown' END AS verdict "
-        "FROM (VALUES (1, '3 passed'), (2, 'collected 0 items'), (3, ' '), (4, 'boom'), (5, '0 passed, 2 failed')) AS v(id, out)",
+        "SELECT event_id, CASE WHEN out RLIKE 'no tests ran|collected 0 items' THEN 'none' WHEN out RLIKE '[1-9][0-9]* (passed|failed)' THEN 'ran' WHEN trim(out) = '' THEN 'silent' ELSE 'unknown' END AS verdict FROM (" + _RUNS.format(text="STRING") + ") x",
+        "SELECT event_id, CASE WHEN regexp_matches(out, 'no tests ran|collected 0 items') THEN 'none' WHEN regexp_matches(out, '[1-9][0-9]* (passed|failed)') THEN 'ran' WHEN trim(out) = '' THEN 'silent' ELSE 'unknown' END AS verdict FROM (" + _RUNS.format(text="VARCHAR") + ") x",
     ),
 }
 

@@ -10,10 +10,14 @@ from loomtext.functions import text as X
 from loomtext.plans.registry import query
 from loomtext.sources.tables import PARAGRAPHS_SQL, SENTENCES_SQL, paragraphs, sentences, table
 
-# A book in miniature, for what the driver's tables lack: markers, chapter headings, another script.
-BOOK = "front\n*** START OF THE BOOK ***\n\nI.\n\nFirst part one.\n\nMore of it.\n\nII\n\nSecond part.\n\nIII.\n\nThird part.\n*** END OF THE BOOK ***\nback\n"
-_BOOK_SQL = "(SELECT '" + BOOK.replace("\n", "~") + "' AS raw)"
-JAPANESE = ("むりだ！　つぎの文。", "「行くぞ！」と言った。彼は笑った。", "本当か？いや。終わり", "「はい」「いいえ」など。次")
+# Books made of the documents, for what the tables lack: markers and chapter headings. Lines of text begin with a mark, so
+# that none is a heading. Both engines read this.
+_BOOKS = """SELECT doc_id AS book, concat('front', chr(10), '*** START OF ', CAST(doc_id AS {text}), ' ***', chr(10), chr(10), 'I.', chr(10), '> ', replace(coalesce(text, ''), chr(10), concat(chr(10), '> ')), chr(10),
+'II', chr(10), coalesce(source, ''), chr(10), CASE WHEN doc_id % 2 = 0 THEN 'III.' ELSE 'III' END, chr(10), coalesce(lang, ''), chr(10), '*** END OF THE BOOK ***', chr(10), 'back') AS raw FROM {documents}"""
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_BOOKS.format(text="STRING", documents="{documents}"), documents=table(spark, sf_dir, "documents"))
 
 
 def strip_wrapper(raw: DataFrame) -> DataFrame:
@@ -44,30 +48,25 @@ def split_chapters(books: DataFrame, headings: tuple[str, ...] = ("I", "II", "II
     return checked.select("book", F.posexplode(parts).alias("_k", "_c")).select("book", (F.col("_k") + 1).cast("long").alias("chapter"), "_c.heading", "_c.text")
 
 
-@query(
-    "WITH b AS (SELECT replace(raw, '~', chr(10)) AS raw FROM " + _BOOK_SQL + r""")
-SELECT regexp_extract(raw, '(?ms)^\*\*\* START[^\n]*\n(.*?)^\*\*\* END', 1) AS body FROM b"""
-)
+_BODY = r"regexp_extract(raw, '(?ms)^\*\*\* START[^\n]*\n(.*?)^\*\*\* END', 1)"
+_DUCK_BOOKS = _BOOKS.format(text="VARCHAR", documents="documents")
+
+
+@query(f"WITH b AS ({_DUCK_BOOKS}) SELECT book, md5({_BODY}) AS digest FROM b")
 def strip_wrapper_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip_wrapper(spark.createDataFrame([(BOOK,)], "raw string"))
+    return strip_wrapper(books(spark, sf_dir)).select("book", F.md5("body").alias("digest"))
 
 
-# Two books, so that a chapter of one never takes lines of the other.
-BOOKS = {1: BOOK, 2: BOOK.replace("part", "piece").replace("II\n", "II.\n").replace("front", "I.\nfront")}
-_CHAPTERS_SQL = (
-    "WITH r(book, raw) AS (VALUES "
-    + ", ".join(f"({k}, '{v.replace(chr(10), '~')}')" for k, v in BOOKS.items())
-    + r"""), b AS (SELECT book, regexp_extract(replace(raw, '~', chr(10)), '(?ms)^\*\*\* START[^\n]*\n(.*?)^\*\*\* END', 1) AS body FROM r),
+_CHAPTERS_SQL = f"""WITH r AS ({_DUCK_BOOKS}), b AS (SELECT book, {_BODY} AS body FROM r),
 l AS (SELECT book, unnest(string_split(body, chr(10))) AS text, generate_subscripts(string_split(body, chr(10)), 1) AS line FROM b),
-m AS (SELECT *, regexp_extract(trim(text), '^(I|II|III)\.?$', 1) AS h FROM l),
+m AS (SELECT *, regexp_extract(trim(text), '^(I|II|III)\\.?$', 1) AS h FROM l),
 c AS (SELECT *, sum(CASE WHEN h <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY line) AS chapter FROM m)
-SELECT book, CAST(chapter AS BIGINT) AS chapter, max(h) AS heading, string_agg(text, chr(10) ORDER BY line) FILTER (WHERE h = '') AS text FROM c WHERE chapter > 0 GROUP BY book, chapter"""
-)
+SELECT book, CAST(chapter AS BIGINT) AS chapter, max(h) AS heading, md5(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE h = '')) AS digest FROM c WHERE chapter > 0 GROUP BY book, chapter"""
 
 
 @query(_CHAPTERS_SQL)
 def chapter_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_chapters(strip_wrapper(spark.createDataFrame(list(BOOKS.items()), "book int, raw string")))
+    return split_chapters(strip_wrapper(books(spark, sf_dir))).select("book", "chapter", "heading", F.md5("text").alias("digest"))
 
 
 @query(
@@ -121,12 +120,14 @@ def sentences_en(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM (VALUES (0, 1, 'むりだ！'), (0, 2, 'つぎの文。'), (1, 1, '「行くぞ！」と言った。'), (1, 2, '彼は笑った。'), (2, 1, '本当か？'), (2, 2, 'いや。'), (2, 3, '終わり'), "
-    "(3, 1, '「はい」'), (3, 2, '「いいえ」など。'), (3, 3, '次')) AS v(id, sent, text)"
+    PARAGRAPHS_SQL.replace("\n_lines", "WITH _lines", 1)
+    + """, _m AS (SELECT doc_id, par, string_split(regexp_replace(translate(text, '.!?', '。！？'), '([。！？])', '\\1' || chr(30), 'g'), chr(30)) AS p FROM paragraphs),
+_s AS (SELECT doc_id, par, list_filter(list_transform(p, lambda x: trim(x)), lambda x: x <> '') AS p FROM _m) SELECT doc_id, par, generate_subscripts(p, 1) AS sent, unnest(p) AS text FROM _s"""
 )
 def sentences_ja(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame(list(enumerate(JAPANESE)), "id int, raw string")
-    return raw.select("id", F.posexplode(X.sentences_ja(F.col("raw"))).alias("_s", "text")).select("id", (F.col("_s") + 1).alias("sent"), "text")
+    """Paragraphs with Japanese stops in place of their own; tests/test_texts.py has the rules about brackets."""
+    p = paragraphs(spark, sf_dir).select("doc_id", "par", F.translate("text", ".!?", "。！？").alias("text"))
+    return p.select("doc_id", "par", F.posexplode(X.sentences_ja(F.col("text"))).alias("_s", "text")).select("doc_id", "par", (F.col("_s") + 1).cast("long").alias("sent"), "text")
 
 
 @query(
@@ -179,12 +180,20 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query("SELECT * FROM (VALUES (1, '漢字', 'かんじ'), (2, '本', 'ほん')) AS v(pos, base, reading)")
+_RUBY = "<ruby><rb>{a}</rb><rt>{b}</rt></ruby>"
+
+
+@query(
+    "WITH h AS (SELECT doc_id, regexp_replace(text, '([\\p{L}]+) ([\\p{L}]+)', '" + _RUBY.format(a="\\1", b="\\2") + "', 'g') AS html FROM documents), "
+    "b AS (SELECT doc_id, regexp_extract_all(html, '" + _RUBY.format(a="(.*?)", b="(.*?)") + "', 1) AS x, regexp_extract_all(html, '" + _RUBY.format(a="(.*?)", b="(.*?)") + "', 2) AS y FROM h) "
+    "SELECT doc_id, generate_subscripts(x, 1) AS pos, unnest(x) AS base, unnest(y) AS reading FROM b"
+)
 def ruby_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([("<p><ruby><rb>漢字</rb><rt>かんじ</rt></ruby>と<ruby><rb>本</rb><rt>ほん</rt></ruby></p>",)], "html string")
-    pattern = F.lit("<ruby><rb>(.*?)</rb><rt>(.*?)</rt></ruby>")
+    """Base and reading of each ruby; the documents' neighbouring words stand in for them."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"([\p{L}]+) ([\p{L}]+)", _RUBY.format(a="$1", b="$2")).alias("html"))
+    pattern = F.lit(_RUBY.format(a="(.*?)", b="(.*?)"))
     pairs = F.arrays_zip(F.regexp_extract_all("html", pattern, 1).alias("base"), F.regexp_extract_all("html", pattern, 2).alias("reading"))
-    return raw.select(F.posexplode(pairs).alias("_p", "x")).select((F.col("_p") + 1).alias("pos"), F.col("x.base").alias("base"), F.col("x.reading").alias("reading"))
+    return raw.select("doc_id", F.posexplode(pairs).alias("_p", "x")).select("doc_id", (F.col("_p") + 1).cast("long").alias("pos"), F.col("x.base").alias("base"), F.col("x.reading").alias("reading"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[ \t\r\n\f\v\x{A0}\x{2028}\x{2029}]+', ' ', 'g')) AS text FROM documents")

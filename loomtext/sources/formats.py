@@ -61,15 +61,16 @@ def write_safetensors(tensors: dict[str, np.ndarray]) -> bytes:
     return struct.pack("<Q", len(text)) + text + body
 
 
-def explode_safetensors(files: DataFrame) -> DataFrame:
-    """files: content. -> name, dtype, shape, data of each tensor."""
+def explode_safetensors(files: DataFrame, *keys: str) -> DataFrame:
+    """files: content, and keys that go along. -> keys, name, dtype, shape, data of each tensor."""
 
     def run(batches):
         for b in batches:
-            rows = [t for content in b["content"] for t in parse_safetensors(bytes(content))]
-            yield pd.DataFrame(rows, columns=["name", "dtype", "shape", "data"])
+            rows = [(*k, *t) for *k, content in zip(*(b[c] for c in keys), b["content"], strict=True) for t in parse_safetensors(bytes(content))]
+            yield pd.DataFrame(rows, columns=[*keys, "name", "dtype", "shape", "data"])
 
-    return files.select("content").mapInPandas(run, "name string, dtype string, shape array<long>, data binary")
+    kinds = "".join(f"{c} {files.schema[c].dataType.simpleString()}, " for c in keys)
+    return files.select(*keys, "content").mapInPandas(run, kinds + "name string, dtype string, shape array<long>, data binary")
 
 
 def pack_vectors(vectors: DataFrame) -> DataFrame:

@@ -35,8 +35,7 @@ def test_beads_are_those_of_whole_pairs(spark, spacing):
     want = sorted((r["pair_id"], r["i0"], r["i1"], r["j0"], r["j1"]) for r in align.length_beads(sides).collect())
     assert got == want
     if spacing == 7:
-        placed = anchors.positions(sides.withColumn("f", anchors.X.tokens("text")))
-        assert anchors.cuts_of(anchors.ties(placed, placed["f"]), spacing).count() > 20
+        assert anchors.cuts_of(anchors.ties(anchors.positions(anchors.measured(sides))), spacing).count() > 20
 
 
 def test_outcomes_and_odd_rows(spark):
@@ -77,7 +76,7 @@ def test_near_copies_of_documents(spark, sf_dir):
     """Where the path of the whole pair passes all cuts, the beads are the same."""
     sides = anchors.copies_as_sides(spark, sf_dir)
     cuts: dict[int, set] = {}
-    for r in anchors.cuts_of(anchors.ties(anchors.positions(sides), F.array("text")), 20).collect():
+    for r in anchors.cuts_of(anchors.ties(anchors.positions(anchors.measured(sides, F.array("text")))), 20).collect():
         cuts.setdefault(r["pair_id"], set()).add((r["i"], r["j"]))
     got, want = ({}, {})
     for beads, rows in ((got, anchors.align_editions(sides, F.array("text"), 20).where("outcome = 'aligned'").collect()), (want, align.length_beads(sides).collect())):

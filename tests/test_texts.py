@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomtext.operators import scripts, sections, spans, stats
+from loomtext.functions import text as X
+from loomtext.operators import misc, scripts, sections, spans, stats
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -46,6 +48,23 @@ def test_runs_of_scripts(spark):
     assert [tuple(r) for r in scripts.stray_signs(signs).orderBy("id").collect()] == [(1, 2, 1), (2, 0, 0), (3, 0, 1)]
 
 
+def test_japanese_sentences(spark):
+    texts = ["むりだ！　つぎの文。", "「行くぞ！」と言った。彼は笑った。", "本当か？いや。終わり", "「はい」「いいえ」など。次"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.sentences_ja(F.col("t"))).collect()]
+    assert got == [["むりだ！", "つぎの文。"], ["「行くぞ！」と言った。", "彼は笑った。"], ["本当か？", "いや。", "終わり"], ["「はい」", "「いいえ」など。", "次"]]
+
+
+def test_attention_is_folded(spark):
+    """Layers averaged, summed over a source's tokens, averaged over a target's, then over windows."""
+    rows = [(w, y, t, s, t // 2 + w, s // 3 + w, ((3 * t + 5 * s + 7 * w + y) % 11) / 11) for w in range(3) for y in range(2) for t in range(4) for s in range(6)]
+    x = np.array([r[6] for r in rows]).reshape(3, 2, 4, 6).mean(1).reshape(3, 4, 2, 3).sum(3).reshape(3, 2, 2, 2).mean(2)
+    want: dict[tuple, list] = {}
+    for w, d, o in itertools.product(range(3), range(2), range(2)):
+        want.setdefault((d + w, o + w), []).append(x[w, d, o])
+    got = {(r["dst"], r["src"]): r["score"] for r in misc.fold_attention(spark.createDataFrame(rows, "w int, layer int, t int, s int, dst int, src int, x double")).collect()}
+    assert got == pytest.approx({k: np.mean(v) for k, v in want.items()}, abs=1e-6)
+
+
 def test_tree_of_a_page(spark):
     html = """<html><head><title>no</title><style>p{}</style></head><body>before<nav><ul><li>one<li>two</ul></nav><h1>Top &amp; <b>more</b></h1><p>a<br>b<p>c<script>var t='<p>no</p>';</script>
     <h3>Deep</h3>x<h2>Second</h2><div>y<h2></h2><p> </p><!-- <p>no --><h1>Last</h1><p>end"""
