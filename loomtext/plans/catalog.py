@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.operators import align, anchors, audit, diffs, eventlog, fileformats, logfiles, logrules, metrics, misc, ranks, relational, scripts, sections, segment, stats, vectors  # noqa: F401
+from loomtext.operators import align, anchors, audit, contracts, diffs, eventlog, fileformats, logfiles, logrules, metrics, misc, ranks, relational, scripts, sections, segment, stats, vectors  # noqa: F401
 from loomtext.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
