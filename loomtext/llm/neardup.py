@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     label = label.select(F.col("node").alias("_node"), "component")
     # The class of each document: only those of several documents need to be looked up.
     several = classes.where("copies > 1").select(F.col("digest").alias("_digest"), F.col("rep"))
-    of_doc = sketch.join(several, F.col("digest") == F.col("_digest"), "left").withColumn("rep", F.when(F.col("digest").isNotNull(), F.coalesce("rep", "doc_id")))
+    of_doc = sketch.join(several, F.col("digest") == F.col("_digest"), "left").withColumn("rep", F.when(F.expr("doc_id is not null and digest is not null"), F.coalesce("rep", "doc_id")))
     component = F.coalesce("component", "rep", "doc_id")
     return of_doc.join(label, F.col("rep") == F.col("_node"), "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")

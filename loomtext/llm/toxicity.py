@@ -198,7 +198,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, name: str = "toxic") -> DataF
     """The rows of docs, with all their columns, whose text is scored below 0.5; see score_toxicity().
 
     Calibration matches only the texts that calibrate, so each text but those is matched once. Null and empty texts match
-    nothing and stay, as does everything where no lexicon can be learned; repeated rows are judged each by itself.
+    nothing. Everything stays where no lexicon can be learned, and where the calibrated score is on one side of 0.5 for all
+    densities, as it tells no toxic text from others then (score_toxicity() predicts 1 for all if that is the upper side).
+    Repeated rows are judged each by itself.
     """
     usable = _usable(docs, labels, name)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

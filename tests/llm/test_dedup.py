@@ -156,3 +156,9 @@ def test_a_common_passage_and_a_common_phrase_in_groups_of_any_size(spark, group
     rows += [(100, " ".join(["la"] * 200)), (101, " ".join(["la"] * 30))]
     found = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), group_segments=group).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == brute_removed(rows, 20)
+
+
+def test_a_null_id_has_no_component_even_among_copies(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)]
+    got = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (2, 3, 1, False), (None, 3, None, True), (None, 0, None, True)], key=str)
