@@ -1,13 +1,13 @@
-"""Substring dedup (4): prefix-partitioned suffix trees.
+"""Substring dedup (4): suffix trees of groups that fit in memory.
 
-A text's suffixes are sampled: each window of `window` words is served by the suffix that begins at the least-hashed run
-of `prefix` words in it (the leftmost of equals), so that equal windows are served by suffixes with equal prefixes. The
-suffixes that begin with the same prefix are one group, whose subtree is built by itself. With 8 of 20 words a suffix
-serves about six windows in a row; the words of those are its segment, and the group's tree holds the suffixes of its
-segments. Equal segments of a group are one, that of the earliest, before any text is moved; windows of the later ones
-are all repeated. A group with one segment is a leaf and needs no tree. A group with more segments than memory should
-hold gets longer prefixes: its windows are served anew by runs of 14, 17, 19 and at last 20 words, until the groups that
-come of it fit. At 20 words the prefix is the window, and a group is a single node.
+Windows of `window` words are dealt to groups by the least-hashed run of `prefix` words in them (the leftmost of equals), so
+that equal windows are in one group. With 8 of 20 words a run names about six windows in a row; the words of those are a
+segment, and the group's tree holds the suffixes from each window's start to the end of its segment. These share the run, at
+places of their own, and not their leading words: the groups are a partition of windows, not of suffixes by prefixes.
+Equal segments of a group are one, that of the earliest, before any text is moved; windows of the later ones are all
+repeated. A group with one segment needs no tree. A group with more segments than memory should hold is dealt anew by longer
+runs, of 14, 17, 19 and at last 20 words, until the groups that come of it fit. At 20 words the run is the window, and a
+group is a single node.
 
 A tree is its sorted suffixes with the lengths of the prefixes that neighbours share; its internal nodes of depth
 `window` or more are the repeats, and under a topmost one of these only the earliest suffix stays.
@@ -27,14 +27,14 @@ from loomtext.llm.common import Scratch, byte_texts, cut, gram_hashes, hash_word
 
 WINDOW = 20
 PREFIX = 8
-#: Different segments of a group that one tree holds (each about window + 6 words); larger groups get longer prefixes.
+#: Different segments of a group that one tree holds (each about window + 6 words); larger groups get longer runs.
 GROUP_SEGMENTS = 2_000
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.ones((2, 1), np.uint64)  # of _BASE and of its inverse, as many as were needed
 
 
 def prefix_lengths(window: int, prefix: int) -> list[int]:
-    """The prefixes that a group goes through, each halfway from the one before to the window."""
+    """The lengths of runs that a group goes through, each halfway from the one before to the window."""
     lengths = [min(prefix, window)]
     while lengths[-1] < window:
         lengths.append((lengths[-1] + window + 1) // 2)
@@ -42,7 +42,7 @@ def prefix_lengths(window: int, prefix: int) -> list[int]:
 
 
 def anchors(hashed: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each sampled suffix of a document: the hash of its prefix, the first and the last start of the windows it serves."""
+    """For each run of a document that names windows: its hash, the first and the last start of these windows."""
     n = len(hashed) - window + 1
     if n <= 0:
         none = np.empty(0, np.int64)
