@@ -12,6 +12,7 @@ A part without cuts, however long, needs memory by the sum of its sides (see ali
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 
 import pandas as pd
@@ -26,6 +27,8 @@ from loomtext.sources.scratch import cut
 from loomtext.sources.tables import sentences
 
 SPACING = 200
+#: Cells of the tables that one task fills, about.
+TASK_CELLS = 10_000_000
 
 
 def measured(texts: DataFrame, features: Column | None = None) -> DataFrame:
@@ -75,16 +78,19 @@ def heaviest_chain(points: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 def cuts_of(tied: DataFrame, spacing: int) -> DataFrame:
     """pair_id, i, j: the first sentences of both sides behind each cut."""
 
-    def of_pair(rows: pd.DataFrame) -> pd.DataFrame:
-        chain = heaviest_chain(list(zip(rows["i"].tolist(), rows["j"].tolist(), rows["votes"].tolist(), strict=True)))
-        found, last = [], 0
-        for (a, b), (c, d) in zip(chain, chain[1:], strict=False):
-            if c == a + 1 and d == b + 1 and c - last >= spacing:
-                found.append((c, d))
-                last = c
-        return pd.DataFrame({"pair_id": [rows["pair_id"].iloc[0]] * len(found), "i": [x[0] for x in found], "j": [x[1] for x in found]})
+    def run(batches):
+        for batch in batches:
+            found = []
+            for pair, points in zip(batch["pair_id"], batch["points"], strict=True):
+                last, chain = 0, heaviest_chain([(p["i"], p["j"], p["votes"]) for p in points])
+                for (a, b), (c, d) in zip(chain, chain[1:], strict=False):
+                    if c == a + 1 and d == b + 1 and c - last >= spacing:
+                        found.append((pair, c, d))
+                        last = c
+            yield pd.DataFrame(found, columns=["pair_id", "i", "j"])
 
-    return tied.groupBy("pair_id").applyInPandas(of_pair, "pair_id long, i int, j int")
+    points = tied.groupBy("pair_id").agg(F.collect_list(F.struct("i", "j", "votes")).alias("points"))
+    return points.mapInPandas(run, "pair_id long, i int, j int")
 
 
 def parts_of(placed: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -113,7 +119,10 @@ def align_editions(sides: DataFrame, features: Column | None = None, spacing: in
     lean = sides if "features" in sides.columns else measured(sides, features)
     placed = cut(positions(lean.where("pair_id is not null and side in ('src', 'dst')").select("pair_id", "side", "ord", "n", "features")))
     parts = cut(parts_of(placed, cuts_of(ties(placed), spacing)))
-    done = cut(alignments(parts.where("ratio is not null")))
+    usable = parts.where("ratio is not null")
+    cells = usable.agg(F.sum((F.size("src") + 1).cast("double") * (F.size("dst") + 1))).first()[0] or 0
+    # Parts are small rows that take long: they are dealt by the time they take, not by their bytes.
+    done = cut(alignments(usable.repartition(max(1, math.ceil(cells / TASK_CELLS)))))
     failed = done.where(F.col("outcome") != ALIGNED).select("pair_id").distinct()
     several = failed.join(parts.where("part > 0").select("pair_id").distinct(), "pair_id", "left_semi")
     again = alignments(length_arrays(placed.join(several, "pair_id", "left_semi").drop("features")))
