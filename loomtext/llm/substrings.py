@@ -1,16 +1,19 @@
-"""Substring dedup (4): suffix trees of groups that fit in memory.
-
-Windows of `window` words are dealt to groups by the least-hashed run of `prefix` words in them (the leftmost of equals), so
-that equal windows are in one group. With 8 of 20 words a run names about six windows in a row; the words of those are a
-segment, and the group's tree holds the suffixes from each window's start to the end of its segment. These share the run, at
-places of their own, and not their leading words: the groups are a partition of windows, not of suffixes by prefixes.
-Equal segments of a group are one, that of the earliest, before any text is moved; windows of the later ones are all
-repeated. A group with one segment needs no tree. A group with more segments than memory should hold is dealt anew by longer
-runs, of 14, 17, 19 and at last 20 words, until the groups that come of it fit. At 20 words the run is the window, and a
-group is a single node.
-
-A tree is its sorted suffixes with the lengths of the prefixes that neighbours share; its internal nodes of depth
-`window` or more are the repeats, and under a topmost one of these only the earliest suffix stays.
+"""Substring dedup (4): prefix-partitioned sparse suffix trees, in groups that fit in memory.
+
+Suffixes are sampled: of the suffixes that start in a window of `window` words and share at least `prefix` words with it, the
+one with the least-hashed leading `prefix` words (the leftmost of equals) serves the window, so equal windows are served by
+suffixes that lead with the same words. With 8 of 20 words, one suffix serves about six windows in a row; their words, from the
+first window's start to the last one's end, are its segment.
+
+Sampled suffixes are partitioned by their own leading words: a group is a subtree of the tree of all sampled suffixes. Equal
+segments of a group are one, that of the earliest, before any text is moved; windows of the later ones are all repeated. A
+group with one segment needs no tree. A group with more segments than memory should hold is split by longer prefixes, of 14,
+17, 19 and at last 20 words, with suffixes sampled anew for each length as a short one need not reach that far into its
+windows. At 20 words every window has its own suffix and a group is a single node.
+
+A tree is its sorted suffixes with the lengths of the prefixes that neighbours share. Under an internal node of depth d, suffixes
+with the same l words before them share l + d words: where this is `window` or more, a repeat. Each window is judged at the
+topmost node that is deep enough for its words from the suffix on, and the earliest of those with equal words before it stays.
 """
 
 from __future__ import annotations
@@ -41,12 +44,12 @@ def prefix_lengths(window: int, prefix: int) -> list[int]:
     return lengths
 
 
-def anchors(hashed: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of a document that names windows: its hash, the first and the last start of these windows."""
+def anchors(hashed: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sampled suffixes of a document: hash of their leading words, starts, first and last start of the windows they serve."""
     n = len(hashed) - window + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     grams = gram_hashes(hashed, prefix)
     span = window - prefix + 1
     at = np.concatenate(
@@ -54,7 +57,7 @@ def anchors(hashed: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, n
     ) + np.concatenate([np.arange(min(65536, n - i)) for i in range(0, n, 65536)])
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.concatenate([first[1:] - 1, [n - 1]])
-    return grams[at[first]].astype(np.int64), first, last
+    return grams[at[first]].astype(np.int64), at[first], first, last
 
 
 def span_hashes(hashed: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -76,33 +79,33 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("text"), *columns)
 
 
-_ROW = "key long, seg long, _d long, _h long, lo int, n int"
+_ROW = "key long, seg long, _d long, _h long, lo int, n int, at int"
 
 
 def _sampled(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """key, seg (hash of the segment's words), _d, _h, lo (start of the first window served), n (windows served)."""
+    """key, seg (hash of the segment's words), _d, _h, lo (start of the first window served), n (windows served), at (suffix, from lo)."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         for batch in batches:
-            parts: tuple[list, ...] = ([], [], [], [], [], [])
+            parts: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc, h, text in zip(batch.column("_d").to_pylist(), batch.column("_h").to_pylist(), byte_texts(batch), strict=True):
                 words = text.split()
                 if len(words) >= window:
                     hashed = hash_words(words, len(words))
-                    key, lo, hi = anchors(hashed, window, prefix)
-                    for part, values in zip(parts, (key, span_hashes(hashed, lo, hi + window), np.full(len(key), doc), np.full(len(key), h), lo, hi - lo + 1), strict=True):
+                    key, at, lo, hi = anchors(hashed, window, prefix)
+                    for part, values in zip(parts, (key, span_hashes(hashed, lo, hi + window), np.full(len(key), doc), np.full(len(key), h), lo, hi - lo + 1, at - lo), strict=True):
                         part.append(values)
             arrays = [pa.array(np.concatenate(p) if p else np.empty(0, np.int64), pa.int64()).cast(t) for p, t in zip(parts, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "seg", "_d", "_h", "lo", "n"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "seg", "_d", "_h", "lo", "n", "at"])
 
     return docs.select("_d", "_h", "text").mapInArrow(run, _ROW)
 
 
 def _segments(docs: DataFrame, window: int) -> DataFrame:
-    """The words of the segments that each document (_d, _h, text, wanted: key, seg, lo, n) is asked for."""
+    """The words of the segments that each document (_d, _h, text, wanted: key, seg, lo, n, at) is asked for."""
 
     def run(batches):
         import pyarrow as pa
@@ -111,7 +114,7 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
             rows: list[tuple] = []
             for doc, h, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("_d", "_h")), byte_texts(batch), batch.column("wanted").to_pylist(), strict=True):
                 words = text.split()
-                rows += [(w["key"], w["seg"], doc, h, w["lo"], w["n"], b" ".join(words[w["lo"] : w["lo"] + w["n"] + window - 1])) for w in wanted]
+                rows += [(w["key"], w["seg"], doc, h, w["lo"], w["n"], w["at"], b" ".join(words[w["lo"] : w["lo"] + w["n"] + window - 1])) for w in wanted]
             yield _segment_batch(rows)
 
     return docs.mapInArrow(run, f"{_ROW}, words binary")
@@ -120,70 +123,79 @@ def _segments(docs: DataFrame, window: int) -> DataFrame:
 def _segment_batch(rows: list[tuple]):
     import pyarrow as pa
 
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "seg", "_d", "_h", "lo", "n", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "seg", "_d", "_h", "lo", "n", "at", "words"])
 
 
 def _split(segments: DataFrame, window: int, prefix: int) -> DataFrame:
-    """The segments' windows dealt to longer prefixes; a group's windows stay apart from those of other groups."""
+    """The segments' windows served by suffixes with longer prefixes. Equal windows come from one group and go to one group."""
 
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for key, doc, h, lo, text in zip(*(batch.column(c).to_pylist() for c in ("key", "_d", "_h", "lo", "words")), strict=True):
+            for doc, h, lo, text in zip(*(batch.column(c).to_pylist() for c in ("_d", "_h", "lo", "words")), strict=True):
                 words = text.split()
                 hashed = hash_words(words, len(words))
-                keys, first, last = anchors(hashed, window, prefix)
-                keys = mix(keys.astype(np.uint64), np.uint64(key & (2**64 - 1))).astype(np.int64)
-                for k, s, a, b in zip(keys.tolist(), span_hashes(hashed, first, last + window).tolist(), first.tolist(), last.tolist(), strict=True):
-                    rows.append((k, s, doc, h, lo + a, b - a + 1, b" ".join(words[a : b + window])))
+                keys, at, first, last = anchors(hashed, window, prefix)
+                for k, s, x, a, b in zip(*(v.tolist() for v in (keys, span_hashes(hashed, first, last + window), at, first, last)), strict=True):
+                    rows.append((k, s, doc, h, lo + a, b - a + 1, x - a, b" ".join(words[a : b + window])))
             yield _segment_batch(rows)
 
     return segments.mapInArrow(run, f"{_ROW}, words binary")
 
 
 class SuffixTree:
-    """The suffixes of segments (place, words) that have `window` words or more: sorted, with shared prefix lengths.
+    """The tree of a group of sampled suffixes: sorted, with shared prefix lengths.
 
-    suffixes: (segment, word); shared[k]: words that suffix k shares with the one before, 0 for fewer than window.
+    segments: (place, words, at, n): words from the first of n windows on, of the suffix at the word `at`; the last part of a
+    place is that of the first word. suffixes: segments in the order of their suffixes; shared[k]: words that suffix k shares with the one before.
     """
 
-    def __init__(self, segments: list[tuple[tuple, list[bytes]]], window: int) -> None:
+    def __init__(self, segments: list[tuple[tuple, list[bytes], int, int]], window: int) -> None:
         self.segments, self.window = segments, window
-        rows = sorted((words[i:], s, i) for s, (_, words) in enumerate(segments) for i in range(len(words) - window + 1))
-        self.suffixes = [(s, i) for _, s, i in rows]
+        rows = sorted((words[at:], s) for s, (_, words, at, _) in enumerate(segments))
+        self.suffixes = [s for _, s in rows]
         self.shared = [0] * len(rows)
         for k in range(1, len(rows)):
             a, b = rows[k - 1][0], rows[k][0]
-            if a[:window] == b[:window]:
-                n = window
-                while n < len(a) and n < len(b) and a[n] == b[n]:
-                    n += 1
-                self.shared[k] = n
+            n = 0
+            while n < len(a) and n < len(b) and a[n] == b[n]:
+                n += 1
+            self.shared[k] = n
 
-    def deep_nodes(self) -> Iterator[tuple[int, int, int, bool]]:
-        """(depth, first, last, topmost) of each internal node of depth `window` or more: a maximal repeat and its suffixes."""
+    def nodes(self) -> Iterator[tuple[int, int, int, int]]:
+        """(depth of the parent, depth, first, last) of each internal node below the root, children before parents."""
         open_: list[tuple[int, int]] = []
         for k in range(1, len(self.suffixes) + 1):
             depth, first = self.shared[k] if k < len(self.suffixes) else 0, k - 1
             while open_ and open_[-1][0] > depth:
                 below, first = open_.pop()
-                yield below, first, k - 1, not open_ and not depth
+                yield max(depth, open_[-1][0] if open_ else 0), below, first, k - 1
             if depth and (not open_ or open_[-1][0] < depth):
                 open_.append((depth, first))
 
+    def repeats(self) -> Iterator[tuple[int, list[int]]]:
+        """(words before the suffix, segments) of each set of equal windows, from the topmost node that is deep enough for them."""
+        for above, depth, first, last in self.nodes():
+            leaves = self.suffixes[first : last + 1]
+            for right in range(above + 1, min(depth, self.window) + 1):
+                left, same = self.window - right, {}
+                for s in leaves:
+                    _, words, at, n = self.segments[s]
+                    if 0 <= at - left < n:
+                        same.setdefault(tuple(words[at - left : at]), []).append(s)
+                yield from ((left, found) for found in same.values() if len(found) > 1)
+
     def repeated(self) -> Iterator[tuple[int, int, int]]:
-        """(segment, first window, windows) of the runs of windows of which an earlier one is under the same topmost node."""
+        """(segment, first window, windows) of the runs of windows that an earlier one equals."""
         late: dict[int, set[int]] = {}
-        place = lambda x: (*self.segments[x[0]][0][:-1], self.segments[x[0]][0][-1] + x[1])
-        for _, first, last, topmost in self.deep_nodes():
-            if topmost:
-                node = self.suffixes[first : last + 1]
-                earliest = min(map(place, node))
-                for x in node:
-                    if place(x) != earliest:
-                        late.setdefault(x[0], set()).add(x[1])
+        for left, found in self.repeats():
+            places = {s: (*self.segments[s][0][:-1], self.segments[s][0][-1] + self.segments[s][2] - left) for s in found}
+            earliest = min(places.values())
+            for s in found:
+                if places[s] != earliest:  # a row that is there twice has one place
+                    late.setdefault(s, set()).add(self.segments[s][2] - left)
         for s, starts in late.items():
             for first in sorted(i for i in starts if i - 1 not in starts):
                 n = 1
@@ -210,15 +222,15 @@ def _tree_repeats(segments: DataFrame, window: int) -> DataFrame:
         key, group = None, []
         for batch in batches:
             found: list[tuple] = []
-            for k, doc, h, lo, text in zip(*(batch.column(c).to_pylist() for c in ("key", "_d", "_h", "lo", "words")), strict=True):
+            for k, doc, h, lo, n, at, text in zip(*(batch.column(c).to_pylist() for c in ("key", "_d", "_h", "lo", "n", "at", "words")), strict=True):
                 if k != key:
                     found += close()
                     key, group = k, []
-                group.append(((doc, h, lo), text.split()))
+                group.append(((doc, h, lo), text.split(), at, n))
             yield out(found)
         yield out(close())
 
-    return segments.select("key", "_d", "_h", "lo", "words").repartition("key").sortWithinPartitions("key").mapInArrow(run, "_d long, _h long, lo int, n int")
+    return segments.select("key", "_d", "_h", "lo", "n", "at", "words").repartition("key").sortWithinPartitions("key").mapInArrow(run, "_d long, _h long, lo int, n int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_segments: int = GROUP_SEGMENTS) -> DataFrame:
@@ -233,12 +245,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
         alive = scratch.write(rows.join(groups, F.col("key") == F.col("_key")).drop("_key"), "alive")
         scratch.drop("sampled")
         # Each segment is kept once; of groups with several, which need a tree, its words are fetched.
-        first = F.min(F.struct("_d", "_h", "lo", "n")).alias("_first")
+        first = F.min(F.struct("_d", "_h", "lo", "n", "at")).alias("_first")
         once = scratch.write(alive.groupBy("key", "seg").agg(first, F.count(F.lit(1)).alias("_n"), F.bool_or("several").alias("several")), "once")
         again = once.where("_n > 1").select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), "_first")
         late = [alive.join(again, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).where(after("_first")).select("_d", "_h", "lo", "n")]
         once = once.where("several")
-        wanted = once.select("key", "seg", "_first.*").groupBy(F.col("_d").alias("_wd"), F.col("_h").alias("_wh")).agg(F.collect_list(F.struct("key", "seg", "lo", "n")).alias("wanted"))
+        wanted = once.select("key", "seg", "_first.*").groupBy(F.col("_d").alias("_wd"), F.col("_h").alias("_wh")).agg(F.collect_list(F.struct("key", "seg", "lo", "n", "at")).alias("wanted"))
         asked = docs.join(wanted, (F.col("_d") == F.col("_wd")) & (F.col("_h") == F.col("_wh"))).select("_d", "_h", "text", "wanted")
         segments = scratch.write(_segments(asked, window), "segments")
         for k, longer in enumerate([*lengths[1:], None]):
@@ -249,8 +261,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
                 break
             late.append(_tree_repeats(segments.join(large, F.col("key") == F.col("_key"), "left_anti"), window))
             longer_rows = scratch.write(_split(segments.join(large, F.col("key") == F.col("_key"), "left_semi"), window, longer), f"split{k}")
-            firsts = longer_rows.groupBy("key", "seg").agg(F.min(place).alias("_first"), F.min_by("n", place).alias("n"), F.min_by("words", place).alias("words"))
-            segments = scratch.write(firsts.select("key", "seg", "_first.*", "n", "words"), f"segments{k}")
+            firsts = longer_rows.groupBy("key", "seg").agg(F.min(place).alias("_first"), F.min_by(F.struct("n", "at"), place).alias("_size"), F.min_by("words", place).alias("words"))
+            segments = scratch.write(firsts.select("key", "seg", "_first.*", "_size.*", "words"), f"segments{k}")
             kept = segments.select(F.col("key").alias("_key"), F.col("seg").alias("_seg"), F.struct("_d", "_h", "lo").alias("_first"))
             late.append(longer_rows.join(kept, (F.col("key") == F.col("_key")) & (F.col("seg") == F.col("_seg"))).where(after("_first")).select("_d", "_h", "lo", "n"))
         found = late[0]

@@ -133,15 +133,26 @@ def test_rows_that_repeat_a_doc_id_keep_their_own_text(spark):
     assert found == sorted([(1, 40, 0), (5, 40, 40), (5, 40, again if again >= 20 else 0), (5, 40, again if again >= 20 else 0), (0, half, 0), (0, 0, 0)])
 
 
-def test_deep_nodes_are_the_maximal_repeats():
+def test_nodes_are_the_maximal_repeats_of_suffixes_with_one_prefix():
     words = lambda t: [w.encode() for w in t.split()]
-    tree = substrings.SuffixTree([((0,), words("x a b c d e y")), ((10,), words("z a b c d e w")), ((20,), words("q a b c r a b c d e w"))], 3)
-    nodes = {(d, tuple(sorted(tree.segments[s][0][0] + i for s, i in tree.suffixes[a : b + 1])), top) for d, a, b, top in tree.deep_nodes()}
-    assert nodes == {
-        (3, (1, 11, 21, 25), True), (5, (1, 11, 25), False), (6, (11, 25), False),
-        (4, (2, 12, 26), True), (5, (12, 26), False), (3, (3, 13, 27), True), (4, (13, 27), False), (3, (14, 28), True),
-    }
-    assert sorted(tree.repeated()) == [(1, 1, 3), (2, 1, 1), (2, 5, 4)]
+    texts = ["x a b c d e y", "z a b c d e w", "z a b c d f w"]  # the suffixes at "a b" lead with the same two words
+    tree = substrings.SuffixTree([((10 * k,), words(t), 1, 2) for k, t in enumerate(texts)], 4)
+    assert {(above, depth, tuple(sorted(tree.suffixes[a : b + 1]))) for above, depth, a, b in tree.nodes()} == {(0, 4, (0, 1, 2)), (4, 5, (0, 1))}
+    assert sorted((left, tuple(sorted(found))) for left, found in tree.repeats()) == [(0, (0, 1, 2)), (1, (1, 2))]
+    assert sorted(tree.repeated()) == [(1, 1, 1), (2, 0, 2)]
+
+
+def test_a_window_is_served_by_a_suffix_in_it_that_leads_with_the_words_of_its_group():
+    words = [w.encode() for w in prose(5, 300).split()]
+    hashed = substrings.hash_words(words, len(words))
+    for prefix in substrings.prefix_lengths(20, 8):
+        keys, at, first, last = substrings.anchors(hashed, 20, prefix)
+        assert [i for a, b in zip(first, last, strict=True) for i in range(a, b + 1)] == list(range(len(words) - 19))
+        assert all(last <= at) and all(at + prefix <= first + 20)
+        by_key = {}
+        for key, x in zip(keys.tolist(), at.tolist(), strict=True):
+            by_key.setdefault(key, set()).add(tuple(words[x : x + prefix]))
+        assert all(len(found) == 1 for found in by_key.values())
 
 
 def test_prefixes_grow_to_the_window():
