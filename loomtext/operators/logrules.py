@@ -183,7 +183,7 @@ def append_guard(log: DataFrame, new: DataFrame) -> DataFrame:
     fresh = parse(keyed.select(F.col("_id").alias("file"), F.lit(0).cast("long").alias("line"), "raw")).drop("line").withColumnRenamed("file", "_id")
     broken = record_rules(fresh.withColumn("file", F.col("_id")).withColumn("line", F.lit(0).cast("long"))).select(F.col("file").alias("_bad")).distinct()
     state = own.groupBy("file").agg(
-        F.min(F.struct("line", "kind_project", "project")).alias("first"), F.count(F.lit(1)).alias("n"), F.max((F.col("event") == "loop_end").cast("int")).alias("ended")
+        F.min(F.when(F.col("kind_project") == "string", F.struct("line", "project"))).alias("first"), F.count(F.lit(1)).alias("n"), F.max((F.col("event") == "loop_end").cast("int")).alias("ended")
     )
     ends = parsed.where("event = 'loop_end'").groupBy("file").agg(F.max("line").alias("_end")).withColumnRenamed("file", "_ef")
     used = parsed.join(ends, (F.col("file") == F.col("_ef")) & (F.col("line") > F.col("_end"))).groupBy(F.col("file").alias("_uf"), F.col("event").alias("_ue")).agg(F.count(F.lit(1)).alias("used"))
@@ -198,7 +198,8 @@ def append_guard(log: DataFrame, new: DataFrame) -> DataFrame:
     correction, total = F.col("event") == "correction", F.coalesce("prior", F.lit(0)) + 1
     refused = (
         F.when(F.col("_bad").isNotNull() | F.col("_fid").isNull(), "record")
-        .when(~correction & (F.col("first.kind_project") == "string") & ~F.col("project").eqNullSafe(F.col("first.project")), "project")
+        # The file's project is that of its first effective record whose project is a text.
+        .when(~correction & F.col("first").isNotNull() & ~F.col("project").eqNullSafe(F.col("first.project")), "project")
         .when(correction & F.col("target_event").isNull(), "target")
         .when(correction & (F.col("target_event") == "loop_start") & (F.col("n") > 1), "loop_start")
         .when(~correction & (F.coalesce("ended", F.lit(0)) == 1) & ~(F.coalesce("used", F.lit(0)) < F.coalesce("slots", F.lit(0))), "closed")

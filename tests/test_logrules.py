@@ -109,3 +109,12 @@ def test_strikes_count_effective_failures_of_all_files(spark):
 def test_versions(spark):
     rows = spark.createDataFrame([("1.2",), ("1.10",), ("x",), (None,), ("2",)], "v string").select(L.version(F.col("v")).alias("t")).collect()
     assert [r["t"] for r in rows] == [[1, 2], [1, 10], [0], [0], [2]]
+
+
+def test_project_of_a_file_is_its_first_text(spark):
+    """A first record whose project is a number names none; the next one's holds."""
+    made = {"sha": "a", "kind": "fix"}
+    old = [[rec("loop_start", START, project=7), rec("commit", made)]]
+    new = spark.createDataFrame([("loop_0", rec("commit", made, "loop_0", project=p)) for p in ("main", "other")], "file string, raw string")
+    found = {json.loads(r["raw"])["project"]: r["refused"] for r in L.append_guard(log(spark, old), new).collect()}
+    assert found == {"main": None, "other": "project"}
