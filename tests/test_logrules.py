@@ -118,3 +118,11 @@ def test_project_of_a_file_is_its_first_text(spark):
     new = spark.createDataFrame([("loop_0", rec("commit", made, "loop_0", project=p)) for p in ("main", "other")], "file string, raw string")
     found = {json.loads(r["raw"])["project"]: r["refused"] for r in L.append_guard(log(spark, old), new).collect()}
     assert found == {"main": None, "other": "project"}
+
+
+def test_lines_are_parsed_once_for_the_rules_of_files(spark):
+    """The plan of all rules holds no parsing: what they read was written."""
+    found = L.file_rules(L.parse(log(spark, [[rec("loop_start", START), undo(1), "{broken"]])))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan.lower() and "variant" not in plan.lower()
+    assert found.count() > 0
