@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from loomtext.operators.logrules import GUARD_CTES, append_guard
 from loomtext.plans.registry import query
 from loomtext.sources.applog import AppendLog
-from loomtext.sources.lines import named_by_folder, read_lines, write_lines
+from loomtext.sources.lines import read_packed, write_packed
 from loomtext.sources.scratch import Scratch, cut
 from loomtext.sources.tables import LOG_LINES_SQL, log_lines, new_log_lines
 
 
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, line, at, raw of the log, written to files and read back in splits."""
+    """file, line, at, raw of the log, written to packed files and read back in splits."""
     folder = f"{Scratch(spark).base}/log"
-    write_lines(log_lines(spark, sf_dir), folder)
-    return read_lines(spark, folder, file=named_by_folder())
+    write_packed(log_lines(spark, sf_dir), folder)
+    return read_packed(spark, [folder])
 
 
 @query("WITH " + LOG_LINES_SQL + " SELECT file, line, row_number() OVER (ORDER BY file, line) - 1 AS at, raw FROM log_lines")
