@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from loomtext.operators import align
 from loomtext.plans import catalog
 
 
@@ -34,3 +35,26 @@ def test_whole_labels_against_brute_force(spark, tmp_path, n, m):
     got = sorted((r["i"], r["j"]) for r in catalog.QUERIES["align_embedding"](spark, str(tmp_path)).collect())
     assert got == brute_links(*sides)
     assert max(i for i, _ in got) >= 20
+
+
+def test_tiles_give_the_path_of_the_whole_table(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    path = np.cumsum(rng.normal(size=(41, 6)), 0)
+    sides = [path[:33] + rng.normal(size=(33, 6)), path + rng.normal(size=(41, 6))]
+    rows = [(1000 * k + i, k, v.tolist()) for k, s in enumerate(sides) for i, v in enumerate(s)]
+    monkeypatch.setattr(align, "TILE", 16)  # 3 x 3 tiles, the last with one source
+    got = sorted(map(tuple, align.vector_beads(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), 0, 1).collect()))
+    assert got == [b for b in align.align_vectors(*sides) if b[1] > b[0] and b[3] > b[2]]
+
+
+@pytest.mark.parametrize("size", [2, 5, 64])
+def test_edges_of_tiles_carry_the_whole_table(size):
+    rng = np.random.default_rng(size)
+    a, b = align.unit(rng.normal(size=(13, 4))), align.unit(rng.normal(size=(11, 4)))
+    behind = lambda v, k: np.concatenate([v[max(k - 1, 0) : k] if k else v[:1], v[k : k + size]])
+    whole = align.fill_tile(np.concatenate([a[:1], a]), np.concatenate([b[:1], b]), None, None, 0.1)[0]
+    made = {}
+    for i, j in itertools.product(range(0, 13, size), range(0, 11, size)):
+        top, left = made.get((i - size, j)), made.get((i, j - size))
+        made[i, j] = t = align.fill_tile(behind(a, i), behind(b, j), None if top is None else top[-2:], None if left is None else left[2:, -2:], 0.1)[0]
+        assert t == pytest.approx(whole[i : i + size + 2, j : j + size + 2], abs=1e-12)
